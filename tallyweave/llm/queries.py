@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweave.functions.text import compact, filled, trim_low
-from tallyweave.llm import places, seen, spam
+from tallyweave.llm import mixing, packing, places, seen, spam
+from tallyweave.llm.tokens import counter
 from tallyweave.operators.hotkeys import skew_join
 from tallyweave.session import broadcast_if_small, run_dir
 from tallyweave.sources.tables import table
@@ -80,6 +81,83 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return counted.join(meant.where("mun_code = 0").select("state", "city"), ["state", "city"])
 
 
+# -- 7: packing posts -----------------------------------------------------------
+
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, source and tokens of every document, written once: encoding is the
+    dearest step and the plans read the sizes several times."""
+    path = run_dir(spark, "sizes")
+    table(spark, d, "documents", "doc_id", "source", "text").select("doc_id", "source", counter()("text").alias("tokens")).write.parquet(path)
+    return spark.read.schema("doc_id bigint, source string, tokens int").parquet(path)
+
+
+def containers(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    """The container table has one row per size."""
+    rows = table(spark, d, "containers", "container", "capacity_tokens").where("container is not null and capacity_tokens > 0").distinct().orderBy("capacity_tokens", "container").limit(1000).collect()
+    return [(r[0], r[1]) for r in rows]
+
+
+def p7_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's place in containers of each size."""
+    sizes, out = measured(spark, d), None
+    for name, capacity in containers(spark, d):
+        one = packing.pack(sizes, capacity).select(F.lit(name).alias("container"), "doc_id", "piece", "tokens", "bin")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else sizes.select(F.lit("").alias("container"), "doc_id", F.lit(0).cast("bigint").alias("piece"), F.col("tokens").cast("bigint").alias("tokens"), F.lit(0).cast("bigint").alias("bin")).limit(0)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the fewest that could hold the tokens, and the share filled."""
+    bins = p7_assignments(spark, d).groupBy("container", "bin").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"))
+    sizes = table(spark, d, "containers", "container", "capacity_tokens").where("container is not null").distinct()
+    used = bins.groupBy("container").agg(F.count(F.lit(1)).alias("bins"), F.sum("tokens").alias("tokens"), F.sum("items").alias("items"), F.max("tokens").alias("fullest"))
+    return used.join(broadcast_if_small(sizes), "container").select("*", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_bins"), (F.col("tokens") / (F.col("bins") * F.col("capacity_tokens"))).alias("filled"))
+
+
+# -- 8: mixing sources -----------------------------------------------------------
+
+def _targets(spark: SparkSession, d: str) -> dict[str, tuple[float, int]]:
+    """The target table has one row per source."""
+    rows = table(spark, d, "mix_targets", "source", "target_share", "max_repeats").where("source is not null").orderBy("source", "target_share").limit(10_000).collect()
+    return {r[0]: (r[1] or 0.0, r[2] or 0) for r in rows}
+
+
+def _source_tokens(sizes: DataFrame, names: list[str]) -> dict[str, int]:
+    return {r[0]: int(r[1]) for r in sizes.where(F.col("source").isin(names)).groupBy("source").agg(F.sum("tokens")).collect()}
+
+
+def _mix(spark: SparkSession, d: str, plan) -> tuple[DataFrame, DataFrame]:
+    sizes = measured(spark, d).withColumnRenamed("doc_id", "id")
+    targets = _targets(spark, d)
+    return sizes, mixing.realise(sizes, plan(_source_tokens(sizes, list(targets)), targets))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the mixture, one row per use."""
+    return _mix(spark, d, mixing.plan_mix)[1].withColumnRenamed("id", "doc_id")
+
+
+def _shares(spark: SparkSession, d: str, plan) -> DataFrame:
+    sizes, uses = _mix(spark, d, plan)
+    targets = table(spark, d, "mix_targets", "source", "target_share", "max_repeats")
+    used = uses.groupBy("source").agg(F.sum("tokens").alias("used_tokens"), F.count(F.lit(1)).alias("uses"), (F.max("epoch") + 1).alias("most_uses"))
+    have = sizes.groupBy("source").agg(F.sum("tokens").cast("bigint").alias("source_tokens"))
+    total = used.agg(F.sum("used_tokens")).first()[0] or 0
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    all_sources = targets.join(have, "source", "full").join(used, "source", "left")
+    return all_sources.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), "max_repeats", zero("source_tokens"), zero("used_tokens"), zero("uses"), zero("most_uses"), (F.coalesce("used_tokens", F.lit(0)) / F.lit(float(max(1, total)))).alias("share"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return _shares(spark, d, mixing.plan_mix)
+
+
+def p8_entropy_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the plain tempered mixture that has the targets' entropy."""
+    return _shares(spark, d, mixing.plan_entropy)
+
+
 # -- 9: spam posts -----------------------------------------------------------------
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,4 +170,4 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.page_scores(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_unmatched, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_unmatched, p7_assignments, p7_fill, p8_mix, p8_shares, p8_entropy_shares, p9_found, p9_scores)}
