@@ -12,12 +12,10 @@ that is a state of the list, else over the whole list.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyweave.functions.text import trim_low
-from tallyweave.session import broadcast_if_small
+from tallyweave.session import broadcast_if_small, run_dir
 
 #: Least Jaccard similarity of the letter pairs of two names.
 MIN_SIMILARITY = 0.34
@@ -138,7 +136,12 @@ def map_places(spellings: DataFrame, places: DataFrame, t: float = MIN_SIMILARIT
     whole list. The list's state codes are collected: a list has few states."""
     listed = entries(places)
     states = sorted(r[0] for r in listed.select("uf").distinct().limit(1000).collect() if r[0])
-    names = typed(spellings, states)
+    # Written, so that cleaning runs once per spelling: a filter on the clean name would
+    # otherwise be moved below the step that makes the spellings different.
+    spark = spellings.sparkSession
+    path = run_dir(spark, "places")
+    typed(spellings, states).write.parquet(path)
+    names = spark.read.schema("state string, city string, scope string, name string").parquet(path)
     found = best(similar(names.select("scope", "name").distinct(), listed, t))
     return names.join(found.select("scope", "name", "mun_code", "jaccard", "edits", "entry"), ["scope", "name"], "left").select(
         "state", "city", F.coalesce("mun_code", F.lit(0)).cast("int").alias("mun_code"), "scope", "name", "entry", "jaccard", "edits"
