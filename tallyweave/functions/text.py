@@ -6,7 +6,9 @@ from pyspark.sql import Column, functions as F
 
 #: All characters up to U+0020; the trim of the wire contract removes these and no others.
 LOW_CHARS = "".join(map(chr, range(0x21)))
-RECEIPT = "^[0-9a-f]{64}$"
+RECEIPT = r"^[0-9a-f]{64}\z"
+#: Only characters that Java's String.isBlank takes for white space.
+BLANK = r"^[\t-\r\x1c-\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}]*$"
 MAX_ID_CHARS = 128
 
 
@@ -32,7 +34,7 @@ def normalize_id(c: Column | str) -> Column:
     """An identifier as the domain holds it: trimmed; null where the value is null,
     blank (any Unicode white space) or longer than 128 characters after the trim."""
     t = trim_low(c)
-    ok = col(c).isNotNull() & ~col(c).rlike(r"(?U)^\s*$") & (F.length(t) <= MAX_ID_CHARS)
+    ok = col(c).isNotNull() & ~col(c).rlike(BLANK) & (F.length(t) <= MAX_ID_CHARS)
     return F.when(ok, t)
 
 

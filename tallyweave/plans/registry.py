@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import wraps
 
-from tallyweave.plans import stream_quality, stream_quality_sql
+from tallyweave.plans import stream_quality, stream_quality_sql, tally_queries, tally_sql
 
-QUERIES = dict(stream_quality.QUERIES)
-ORACLES = dict(stream_quality_sql.ORACLES)
-FLAGSHIP = "p1_window_counts"
+QUERIES = tally_queries.QUERIES | stream_quality.QUERIES
+ORACLES = tally_sql.ORACLES | stream_quality_sql.ORACLES
+FLAGSHIP = "tally_all_dimensions"
 
 #: Settings that a query needs of the session it is given.
 NEEDED = {"spark.sql.session.timeZone": "UTC"}

@@ -70,6 +70,16 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def written(df, name: str):
+    """``df`` written to the shared folder and read back: a lineage cut that survives
+    the loss of executors, for frames that several steps read."""
+    spark = df.sparkSession
+    path = run_dir(spark, name)
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def is_small(df, limit_bytes: int = 8 << 20) -> bool:
     """Whether the optimiser's upper estimate of a frame is within ``limit_bytes``;
     only frames that pass may be broadcast."""
