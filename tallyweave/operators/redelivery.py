@@ -104,7 +104,7 @@ class DeliveryStore:
         version = m["version"] + 1
         gen = f"{version:010d}-{uuid.uuid4().hex[:8]}"
         order = [c for c in batch.columns if c != "part"]
-        rows = batch.select(*order, F.col("part").cast("int").alias("part"))
+        rows = batch.select(*order, F.coalesce(F.col("part").cast("int"), F.lit(-1)).alias("part"))  # -1: period unknown
         schema = m.get("schema") or rows._jdf.schema().toDDL()
         affected = self._affected(m, rows)
         old = self._load(m, {str(p): m["parts"][str(p)] for p in affected})
@@ -120,7 +120,9 @@ class DeliveryStore:
             parts[p] = parts.get(p, []) + [gen]
         self._commit({"version": version, "schema": schema, "parts": parts, "index": [*m["index"], gen]})
         key = [*self.groups, SEQ]
-        dropped = both.select(*key).distinct().join(fresh.select(*key), key, "left_anti")
+        kept = fresh.select(*(F.col(c).alias(f"_kept_{c}") for c in key))
+        same = [F.col(c).eqNullSafe(F.col(f"_kept_{c}")) for c in key]
+        dropped = both.select(*key).distinct().join(kept, same, "left_anti")
         return Applied(dropped, affected)
 
     def vacuum(self) -> int:

@@ -65,19 +65,22 @@ def roots(leaves: DataFrame) -> DataFrame:
 
 
 def tree_levels(leaves: DataFrame) -> DataFrame:
-    """Every node as a row: windowId, level, pos, hash. Block tables of later rounds
-    begin at the level where the blocks before end."""
-    out, base = None, 0
+    """Every node as a row: windowId, level, pos, hash. A round of a window that has
+    more rounds to come gives the levels below its block roots, in which the node of a
+    block that is not full rises unchanged; the next round begins with those roots."""
+    width, out, done = BLOCK.bit_length() - 1, None, None
     for i, blocks in enumerate(rounds(leaves)):
-        width = BLOCK.bit_length() - 1
-        rows = blocks.select("windowId", "block", F.posexplode("levels").alias("level", "row"))
-        if i:
-            rows = rows.where("level > 0")  # the block roots are there already
-        rows = rows.select("windowId", "block", "level", F.posexplode("row").alias("at", "hash"))
+        if done is not None:
+            blocks = blocks.join(done, "windowId", "left_anti")
+        single = blocks.groupBy("windowId").agg((F.max("block") == 0).alias("_last"))
+        ended = single.where("_last").select("windowId")
+        done = ended if done is None else done.unionByName(ended)
+        filled = F.slice(F.concat("levels", F.array_repeat(F.element_at("levels", -1), width)), 1, width)
+        rows = blocks.join(single, "windowId").select("windowId", "block", F.when(F.col("_last"), F.col("levels")).otherwise(filled).alias("levels"))
+        rows = rows.select("windowId", "block", F.posexplode("levels").alias("level", "row")).select("windowId", "block", "level", F.posexplode("row").alias("at", "hash"))
         start = F.floor(F.col("block") * F.pow(F.lit(2.0), F.lit(width) - F.col("level"))).cast("bigint")
-        part = rows.select("windowId", (F.col("level") + base).cast("int").alias("level"), (start + F.col("at")).alias("pos"), "hash")
+        part = rows.select("windowId", (F.col("level") + i * width).cast("int").alias("level"), (start + F.col("at")).alias("pos"), "hash")
         out = part if out is None else out.unionByName(part)
-        base += width
     return out
 
 

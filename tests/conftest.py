@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from tallyweave.session import build_session
 
-    s = build_session("tests", "local[8]", spark__sql__shuffle__partitions=8, spark__ui__enabled="false", spark__driver__memory="8g")
+    s = build_session("tests", "local[8]", spark__sql__shuffle__partitions=4, spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
