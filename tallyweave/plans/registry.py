@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import wraps
 
-from tallyweave.plans import stream_quality, stream_quality_sql, tally_queries, tally_sql
+from tallyweave.plans import stream_quality, stream_quality_sql, stream_queries, tally_queries, tally_sql
 
-QUERIES = tally_queries.QUERIES | stream_quality.QUERIES
-ORACLES = tally_sql.ORACLES | stream_quality_sql.ORACLES
+QUERIES = tally_queries.QUERIES | stream_queries.QUERIES | stream_quality.QUERIES
+# The stream has to decide as the batch form does.
+ORACLES = tally_sql.ORACLES | stream_quality_sql.ORACLES | {"stream_admission": tally_sql.ORACLES["admission_decisions"]}
 FLAGSHIP = "tally_all_dimensions"
 
 #: Settings that a query needs of the session it is given.
