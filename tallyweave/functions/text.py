@@ -34,7 +34,8 @@ def normalize_id(c: Column | str) -> Column:
     """An identifier as the domain holds it: trimmed; null where the value is null,
     blank (any Unicode white space) or longer than 128 characters after the trim."""
     t = trim_low(c)
-    ok = col(c).isNotNull() & ~col(c).rlike(BLANK) & (F.length(t) <= MAX_ID_CHARS)
+    # A printable ASCII character settles it; only other text needs the pattern.
+    ok = (F.ascii(t).between(33, 126) | ~col(c).rlike(BLANK)) & (F.length(t) <= MAX_ID_CHARS)
     return F.when(ok, t)
 
 

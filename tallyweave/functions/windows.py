@@ -11,6 +11,7 @@ INSTANT = (
     r"^(\d{4})[-/._ ]?(\d{2})[-/._ ]?(\d{2})[T _]+(\d{2})[:.\-_hH ]?(\d{2})(?:[:.\-_mM ]?(\d{2})(?:[.,](\d{1,9}))?)?"
     r"\s*(Z|UTC|GMT|[+-]\d{2}(?::?\d{2})?)\s*(?:/.*)?$"
 )
+PLAIN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z\z"
 
 
 def check_size(size_ms: int) -> int:
@@ -37,11 +38,14 @@ def named_instant_ms(window: Column | str) -> Column:
     separators, letter case, padding, fraction, offset or trailing "/size";
     null for any other value, among them dates that do not exist."""
     t = F.upper(trim_low(col(window)))
-    part = lambda i: F.regexp_extract(t, INSTANT, i)
-    zone = part(8)
-    offset = F.when(zone.isin("Z", "UTC", "GMT"), F.lit("+00:00")).otherwise(
-        F.concat(F.substring(zone, 1, 3), F.lit(":"), F.when(F.length(zone) > 3, F.substring(F.regexp_replace(zone, ":", ""), 4, 2)).otherwise("00"))
-    )
+    # The usual spelling needs no taking apart.
+    plain = F.coalesce(t.rlike(PLAIN), F.lit(False))
+    # One pass of the pattern puts all parts into a list.
+    parts = F.split(F.regexp_replace(t, INSTANT, "$1,$2,$3,$4,$5,$6,$7,$8"), ",")
+    part = lambda i: F.element_at(parts, i)
+    zone = F.regexp_replace(part(8), ":", "")
+    offset = F.when(part(8).isin("Z", "UTC", "GMT"), F.lit("+00:00")).otherwise(F.concat(F.substring(zone, 1, 3), F.lit(":"), F.rpad(F.substring(zone, 4, 2), 2, "0")))
     second = F.when(part(6) == "", "00").otherwise(part(6))
     text = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit("T"), part(4), F.lit(":"), part(5), F.lit(":"), second, F.lit("."), F.rpad(F.substring(part(7), 1, 6), 6, "0"), offset)
-    return F.when(F.coalesce(t.rlike(INSTANT), F.lit(False)), F.unix_millis(text.try_cast("timestamp")))
+    other = F.coalesce(t.rlike(INSTANT), F.lit(False))
+    return F.when(plain, F.unix_millis(t.try_cast("timestamp"))).when(other, F.unix_millis(text.try_cast("timestamp")))
