@@ -48,3 +48,23 @@ def verdicts(checked: DataFrame, links: DataFrame) -> DataFrame:
     joined = checked.withColumn("_one", F.lit(1)).join(F.broadcast(broken), "_one").drop("_one")
     holds = F.col("valid") & F.coalesce(F.col("sequence") < F.col("_broken"), F.lit(True))
     return joined.select("receipt", F.when(F.col("valid").isNull(), "UNDETERMINED").when(holds, "INCLUDED").otherwise("INCONSISTENT").alias("verdict"))
+
+
+def health(leaves: DataFrame, records: DataFrame, status: DataFrame) -> DataFrame:
+    """One row: checkpoints, leaves sealed, windows that wait, and the head of the chain."""
+    one = F.lit(1).alias("_one")
+    head = records.groupBy().agg(F.count(F.lit(1)).alias("checkpoints"), F.sum("leafCount").alias("sealedLeaves"), F.max_by("checkpointHash", "sequence").alias("head"))
+    waiting = status.where("not sealable").groupBy().agg(F.count(F.lit(1)).alias("pendingWindows"))
+    known = leaves.groupBy().agg(F.count(F.lit(1)).alias("leaves"))
+    joined = head.select("*", one).join(waiting.select("*", one), "_one").join(known.select("*", one), "_one")
+    return joined.select("checkpoints", F.coalesce("sealedLeaves", F.lit(0)).alias("sealedLeaves"), "leaves", "pendingWindows", F.coalesce("head", F.lit(merkle.GENESIS)).alias("head"))
+
+
+def roots(records: DataFrame) -> DataFrame:
+    """All checkpoints, in order."""
+    return records.orderBy("sequence")
+
+
+def root(records: DataFrame, window_id: str) -> DataFrame:
+    """The checkpoint of one window; no row if it is not sealed."""
+    return records.where(F.col("windowId") == window_id)

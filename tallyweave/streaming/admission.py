@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tallyweave.config import Schedule
 from tallyweave.operators.admission import screen
 
-DECISION = "arrival_seq bigint, voter string, candidate string, party string, region string, place string, receipt string, castAt timestamp, reason string, originalReceipt string"
+DECISION = "arrival_seq bigint, electionId string, voterId string, candidateId string, voter string, candidate string, party string, region string, place string, receipt string, castAt timestamp, reason string, originalReceipt string"
 
 
 class FirstVote(StatefulProcessor):
@@ -47,7 +47,7 @@ class FirstVote(StatefulProcessor):
 def admit_stream(votes: DataFrame, election: str, schedule: Schedule = Schedule()) -> DataFrame:
     """Decisions on a stream of votes. Votes without a valid voter are refused without
     state, so they do not meet in one group."""
-    screened = screen(votes, election, schedule).select("arrival_seq", "voter", "candidate", "party", "region", "place", "receipt", "castAt", "screened")
+    screened = screen(votes, election, schedule).select("arrival_seq", "electionId", "voterId", "candidateId", "voter", "candidate", "party", "region", "place", "receipt", "castAt", "screened")
     names = [c.split()[0] for c in DECISION.split(", ")]
     stateless = F.col("screened").eqNullSafe("INVALID_VOTE")
     refused = screened.where(stateless).withColumn("reason", F.col("screened")).withColumn("originalReceipt", F.lit(None).cast("string")).select(names)

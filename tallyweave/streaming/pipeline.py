@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyweave.config import Schedule
 from tallyweave.functions.windows import window_id
 from tallyweave.operators import chain, tally, trees
+from tallyweave.sources import wire
 from tallyweave.streaming.admission import DECISION, admit_stream
 
 LINE = DECISION + ", kind string, at timestamp"
@@ -46,6 +47,27 @@ def markers_query(spark: SparkSession, folder: str, window_ms: int, bound_ms: in
     return out.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/markers").option("checkpointLocation", f"{folder}/checkpoints/markers").queryName("markers").trigger(availableNow=True)
 
 
+def counters(decisions: DataFrame, name: str = "admission") -> DataFrame:
+    """The frame with the job's counters attached: acceptedVotes and rejectedVotes are
+    reported as metrics of every batch that passes."""
+    return decisions.observe(name, F.count(F.when(F.col("reason").isNull(), 1)).alias("acceptedVotes"), F.count("reason").alias("rejectedVotes"))
+
+
+def events_query(spark: SparkSession, folder: str, window_ms: int):
+    """Accepted and rejected votes as keyed JSON events, one sub-folder per topic and
+    batch; a batch that is repeated after a failure overwrites itself."""
+    line = counters(read_decisions(spark, folder).where("kind = 'VOTE'"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        ms = F.unix_millis("castAt")
+        accepted = batch.where("reason is null").select(F.lit(1).alias("schemaVersion"), "receipt", "voterId", window_id(ms - F.pmod(ms, F.lit(window_ms))).alias("windowId"), "castAt")
+        rejected = batch.where("reason is not null").select(F.lit(1).alias("schemaVersion"), "electionId", "voterId", "candidateId", "receipt", "reason", "originalReceipt", F.col("castAt").alias("rejectedAt"))
+        for topic, events, schema in (("votes.accepted", accepted, wire.ACCEPTED), ("votes.rejected", rejected, wire.REJECTED)):
+            wire.encode(events, schema, wire.KEYS[topic]).write.mode("overwrite").json(f"{folder}/topics/{topic}/batch={number}")
+
+    return line.writeStream.option("checkpointLocation", f"{folder}/checkpoints/events").queryName("events").trigger(availableNow=True).foreachBatch(write)
+
+
 def tally_query(spark: SparkSession, folder: str):
     """Running counts: each batch writes the keys it changed, under its own number, so a
     repeated batch overwrites itself. The last count of a key is its greatest."""

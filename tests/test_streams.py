@@ -46,6 +46,9 @@ def test_stream_equals_batch(spark, tmp_path, files):
     assert rows(spark.read.parquet(f"{out}/markers"), "windowId", "count") == rows(ended, "windowId", "count")
     chained = pipeline.seal_once(spark, out, 15_000)
     assert chained.count() == ended.count()
+    pipeline.run_to_end(lambda: pipeline.events_query(spark, out, 15_000))
+    sent = spark.read.json(f"{out}/topics/votes.accepted").count(), spark.read.json(f"{out}/topics/votes.rejected").count()
+    assert sent == (batch.where("reason is null").count(), batch.where("reason is not null").count())
     run()  # a restart counts nothing twice
     assert pipeline.read_decisions(spark, out, False).count() == 61
     assert rows(pipeline.standings(spark, out), "dimension", "key", "count") == rows(counted, "dimension", "key", "count")

@@ -116,6 +116,9 @@ def test_empty_window_has_the_empty_tree(spark):
 def test_audit_and_answers(spark):
     numbered, _, records = chain.seal(leaves(spark), marks(spark, [(w, n) for w, n, *_ in GOLDEN[:4]]))
     assert chain.audit(numbered, records).count() == 0
+    state = proofs.health(numbered, records, chain.seal_status(numbered, marks(spark, [(w, n) for w, n, *_ in GOLDEN[:4]]))).first()
+    assert (state["checkpoints"], state["sealedLeaves"], state["leaves"], state["pendingWindows"], state["head"]) == (4, 13, 25, 1, GOLDEN[3][3])
+    assert [r["sequence"] for r in proofs.roots(records).collect()] == [0, 1, 2, 3] and proofs.root(records, GOLDEN[2][0]).first()["root"] == GOLDEN[2][2]
     forged = numbered.withColumn("receipt", F.when(F.col("receipt") == f"{1001:064x}", "e" * 64).otherwise(F.col("receipt")))
     assert ("2026-01-01T00:01:00Z/15s", "ROOT") in rows(chain.audit(trees.numbered(forged.select("windowId", "receipt")), records))
     assert rows(chain.audit(numbered.where(F.col("windowId") != GOLDEN[2][0]), records))[-1][1] in ("NO_LEAVES", "SEQUENCE")
