@@ -67,7 +67,8 @@ class DeliveryStore:
     def kept(self) -> DataFrame | None:
         """Every kept copy, or None where nothing was applied yet."""
         m = self._manifest()
-        return self._load(m, m["parts"])
+        found = self._load(m, m["parts"])
+        return self.spark.createDataFrame([], m["schema"]) if found is None and "schema" in m else found
 
     def _load(self, m: dict, parts: dict[str, list[str]]) -> DataFrame | None:
         by_gen: dict[str, list[int]] = {}

@@ -29,7 +29,10 @@ def ballots(spark: SparkSession, count: int, candidates: list[tuple[str, str]],
     """``count`` ballots with ``id`` 0, 1, ...; the same seed gives the same ballots.
 
     With probability ``duplicate_rate`` a ballot comes from a voter who has voted
-    (``duplicate``). Candidates are (number, party), places (state, city, weight)."""
+    (``duplicate``). Candidates are (number, party), places (state, city, weight);
+    without either there are no ballots."""
+    if not candidates or not places:
+        return spark.createDataFrame([], "id bigint, voterId string, candidateId string, partyId string, state string, city string, duplicate boolean")
     if not 0 <= duplicate_rate < 1:
         raise ValueError("the rate of duplicates lies in [0, 1)")
     weights = [CANDIDATE_WEIGHTS[i] if i < len(CANDIDATE_WEIGHTS) else 1 for i in range(len(candidates))]

@@ -195,7 +195,7 @@ def test_only_affected_parts_are_rewritten(spark, tmp_path):
 
 def test_empty_batch(spark, tmp_path):
     store = DeliveryStore(spark, f"file://{tmp_path}/s")
-    assert store.apply(batch(spark, [])).dropped.count() == 0
+    assert store.apply(batch(spark, [])).dropped.count() == 0 and store.kept().count() == 0
     store.apply(batch(spark, [("t", "a", "v", 1, 0, "x")]))
     assert store.kept().count() == 1
 
