@@ -28,6 +28,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tallyweave.session import written
+
 #: Items up to this share of the capacity are small.
 SMALL = 1 / 8
 #: Groups of large items; the waste of rounding is about 1 / GROUPS of them.
@@ -304,7 +306,8 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     if large:
         plan = plan_large(large, capacity)
         places = ranked(rest.where(F.col("tokens") > limit), "tokens", "id", "_rank")
-        placed = places.select("id", "piece", "tokens", _large_lookup(plan, large)("tokens", "_rank").alias("bin"))
+        # Written: the rooms left, the classes of bins and the result all read it.
+        placed = written(places.select("id", "piece", "tokens", _large_lookup(plan, large)("tokens", "_rank").alias("bin")), "packing")
         out = out.unionByName(placed)
         bins = placed.groupBy("bin").agg((F.lit(capacity) - F.sum("tokens")).alias("room"))
         rooms = _histogram(bins, "room")
