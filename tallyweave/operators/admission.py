@@ -55,15 +55,17 @@ def admit(votes: DataFrame, election: str, schedule: Schedule = Schedule(), orde
 
     The first eligible vote of each voter is found by an aggregation with partial
     minima and joined back; a voter who sent a third of all rows is split over tasks
-    in that join. Empty input gives no rows; rows without a voter are INVALID_VOTE."""
-    screened = screen(votes, election, schedule)
-    firsts = screened.where(F.col("screened").isNull()).groupBy("voter").agg(F.min(F.struct(F.col(order).alias("first"), F.col("receipt").alias("standing"))).alias("_f"))
-    firsts = firsts.select("voter", "_f.first", "_f.standing")
+    in that join. Empty input gives no rows; rows without a voter are INVALID_VOTE.
+    Other columns are carried along; those named like a value that this adds are
+    replaced by it."""
+    screened = screen(votes.drop("reason", "originalReceipt", "_first", "_standing"), election, schedule)
+    firsts = screened.where(F.col("screened").isNull()).groupBy("voter").agg(F.min(F.struct(F.col(order).alias("_first"), F.col("receipt").alias("_standing"))).alias("_f"))
+    firsts = firsts.select("voter", "_f._first", "_f._standing")
     tasks = int(votes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     joined = skew_join(screened, firsts, ("voter",), [order], tasks, "left")
-    later = F.coalesce(F.col(order) > F.col("first"), F.lit(False))
+    later = F.coalesce(F.col(order) > F.col("_first"), F.lit(False))
     reason = F.when(F.col("screened").isNotNull(), F.col("screened")).when(later, "DUPLICATE_VOTE")
-    original = F.when(later & ~F.col("screened").eqNullSafe("INVALID_VOTE"), F.col("standing"))
+    original = F.when(later & ~F.col("screened").eqNullSafe("INVALID_VOTE"), F.col("_standing"))
     return joined.select(*screened.drop("screened").columns, reason.alias("reason"), original.alias("originalReceipt"))
 
 
