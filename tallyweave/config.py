@@ -43,6 +43,7 @@ class JobConfig:
     """All flags of the job with their defaults; names on the command line have dots
     (``--merkle.window.ms 15000``)."""
 
+    # The defaults that users of the job rely on.
     bootstrap_servers: str = "localhost:9092"
     consumer_group: str = "voting-aggregation"
     topic_votes: str = "votes.cast"
