@@ -9,7 +9,10 @@ for the share of function words that sentences would have (stuffing, lists of
 products, links or tags).
 
 Counts come from every page. Repeats are counted within passages of BLOCK words, so
-that a long text is not held to be repetitive for its length.
+that a long text is not held to be repetitive for its length. What comes back only
+after more words than that is counted over the whole text, beyond the share that as
+many pairs drawn from the corpus would repeat; and a list that repeats nothing is told
+from sentences by the function words that it lacks against the corpus median.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.llm.posts import LINK, own_text
-from tallyweave.session import run_dir
+from tallyweave.session import run_dir, written
 
 BLOCK = 64
 MIN_WORDS = 8
@@ -35,6 +38,13 @@ SENTENCE_WEIGHT = 2.5
 MIN_REPEATED, MIN_EXCESS = 0.25, -0.30
 #: Share of links and tags that makes a list, and their least number.
 LIST_SHARE, LIST_MARKS = 0.25, 4
+#: Share repeated over the whole text, beyond what its length explains, of stuffing.
+WHOLE_EXCESS = 0.6
+#: Sentences have function words within so many standard deviations of the corpus
+#: median; a page that is mostly a list has less than this share of the median too.
+DEVIATIONS, MOSTLY = 3.0, 0.5
+#: Lengths 2^0, 2^1, ... of a page for which the expected repeats are worked out.
+LENGTHS = 21
 #: Copies of a word's count, so that the bigrams of a frequent word spread over tasks.
 SALTS = 16
 
@@ -93,8 +103,8 @@ def neighbours(ws: list[str]) -> dict[tuple[str, str], list[int]]:
 
 
 _GRAM = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("tf", pa.int32()), ("again", pa.int32())]))
-_SCHEMA = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("function", pa.int32()), ("marks", pa.int32()), ("grams", _GRAM)])
-_DDL = "id bigint, n int, function int, marks int, grams array<struct<a:string,b:string,tf:int,again:int>>"
+_SCHEMA = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("function", pa.int32()), ("plain", pa.int32()), ("marks", pa.int32()), ("grams", _GRAM)])
+_DDL = "id bigint, n int, function int, plain int, marks int, grams array<struct<a:string,b:string,tf:int,again:int>>"
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +113,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ws = words(own_text(text))
             grams = [{"a": a, "b": b, "tf": c, "again": r} for (a, b), (c, r) in neighbours(ws).items()]
-            rows.append({"id": i, "n": len(ws), "function": sum(w in FUNCTION_WORDS for w in ws), "marks": sum(w in (L, T) for w in ws), "grams": grams})
+            rows.append({"id": i, "n": len(ws), "function": sum(w in FUNCTION_WORDS for w in ws), "plain": sum(w not in (L, T, N) for w in ws), "marks": sum(w in (L, T) for w in ws), "grams": grams})
             size += len(grams)
             if size > 50_000:  # long texts leave in smaller batches
                 yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
@@ -117,21 +127,38 @@ def measure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(_measure, _DDL)
 
 
-def mutual_information(grams: DataFrame, total: int) -> DataFrame:
-    """PMI of each pair (hashes a, b) from rows (a, b, tf). The counts of single words
-    are copied SALTS times and the pairs spread by their other word, so the pairs of
-    one frequent word do not meet in one task."""
-    types = grams.groupBy("a", "b").agg(F.sum("tf").alias("c"))
+def mutual_information(types: DataFrame, total: int) -> DataFrame:
+    """PMI of each pair from its count, rows (a, b, c) of hashes a, b. The counts of
+    single words are copied SALTS times and the pairs spread by their other word, so the
+    pairs of one frequent word do not meet in one task."""
     out = types
     for word, other, name in (("a", "b", "ca"), ("b", "a", "cb")):
-        single = grams.groupBy(word).agg(F.sum("tf").alias(name)).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        single = types.groupBy(word).agg(F.sum("c").alias(name)).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         out = out.withColumn("_s", F.pmod(F.col(other), F.lit(SALTS)).cast("int")).join(single, [word, "_s"]).drop("_s")
     return out.select("a", "b", F.log(F.col("c") * F.lit(float(total)) / (F.col("ca").cast("double") * F.col("cb"))).alias("pmi"))
 
 
+def expected_repeats(types: DataFrame, total: int) -> list[float]:
+    """For 2^0, 2^1, ... pairs drawn from the corpus, the share that others among them equal."""
+    p = F.col("c") / F.lit(float(total))
+    sums = [F.sum(p * (1 - F.pow(1 - p, F.lit(float(2**k - 1))))).alias(f"e{k}") for k in range(LENGTHS)]
+    return [x or 0.0 for x in types.agg(*sums).first()]
+
+
+def beyond_length(whole: Column, pairs: Column, expected: list[float]) -> Column:
+    """The part of a text's repeats that its length does not explain: 0 for as many as
+    expected, 1 for nothing but repeats."""
+    x = F.least(F.log2(F.greatest(pairs, F.lit(1))), F.lit(LENGTHS - 1.001))
+    k = F.floor(x).cast("int")
+    grid = F.array(*(F.lit(e) for e in expected))
+    e = F.element_at(grid, k + 1) + (x - k) * (F.element_at(grid, k + 2) - F.element_at(grid, k + 1))
+    return F.when(e < 1, (whole - e) / (1 - e)).otherwise(0.0)
+
+
 def page_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per page: id, words, function and mark shares, mean_pmi, repeated (share of pairs
-    that are repeated collocations) and spam. Pages with fewer than two words have no
+    that are repeated collocations), excess (the same over the whole text, beyond what its
+    length explains) and the reason to hold it for spam, or null. Pages with fewer than two words have no
     mean_pmi and are no spam. The measured pages are written to the shared folder, as
     corpus counts and page scores both read them."""
     spark = docs.sparkSession
@@ -139,18 +166,29 @@ def page_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     measure(docs, id_col, text_col).write.parquet(path)
     pages = spark.read.schema(_DDL).parquet(path)
     flat = pages.select("id", F.explode("grams").alias("g")).select("id", F.xxhash64("g.a").alias("a"), F.xxhash64("g.b").alias("b"), F.col("g.tf").alias("tf"), F.col("g.again").alias("again"))
-    total = pages.agg(F.sum(F.greatest(F.col("n") - 1, F.lit(0)))).first()[0] or 1
-    known = flat.join(mutual_information(flat.select("a", "b", "tf"), total), ["a", "b"])
+    usual_share = F.percentile_approx(F.when((F.col("n") >= MIN_WORDS) & (F.col("plain") > 0), F.col("function") / F.col("plain")), 0.5, 10_000)
+    total, usual = pages.agg(F.sum(F.greatest(F.col("n") - 1, F.lit(0))), usual_share).first()
+    total, usual = total or 1, usual or 0.0
+    types = written(flat.groupBy("a", "b").agg(F.sum("tf").alias("c")), "pairs")
+    known = flat.join(mutual_information(types, total), ["a", "b"])
     sums = known.groupBy("id").agg(
         F.sum("tf").alias("pairs"), (F.sum(F.col("tf") * F.col("pmi")) / F.sum("tf")).alias("mean_pmi"),
         (F.sum(F.when(F.col("pmi") >= MIN_PMI, F.col("again")).otherwise(0)) / F.sum("tf")).alias("repeated"),
+        (F.sum(F.when((F.col("pmi") >= MIN_PMI) & (F.col("tf") > 1), F.col("tf")).otherwise(0)) / F.sum("tf")).alias("whole"),
     )
-    scored = pages.select("id", "n", F.when(F.col("n") > 0, F.col("function") / F.col("n")).otherwise(0.0).alias("function_share"), F.when(F.col("n") > 0, F.col("marks") / F.col("n")).otherwise(0.0).alias("mark_share"), "marks")
+    scored = pages.select("id", "n", F.when(F.col("n") > 0, F.col("function") / F.col("n")).otherwise(0.0).alias("function_share"), F.when(F.col("n") > 0, F.col("marks") / F.col("n")).otherwise(0.0).alias("mark_share"), "marks", "function", "plain")
     scored = scored.join(sums, "id", "left").withColumn("repeated", F.coalesce("repeated", F.lit(0.0)))
+    scored = scored.withColumn("excess", F.coalesce(beyond_length(F.col("whole"), F.col("pairs"), expected_repeats(types, total)), F.lit(0.0)))
     few_sentences = F.col("repeated") - SENTENCE_WEIGHT * F.col("function_share") + F.when(F.col("mark_share") >= 0.12, 2 * F.col("mark_share")).otherwise(0.0)
     listed = (F.col("marks") >= LIST_MARKS) & (F.col("mark_share") >= LIST_SHARE)
     salad = (F.col("n") >= SALAD_WORDS) & (F.col("mean_pmi") < SALAD_PMI)
     enough = (F.col("n") >= 30) | (F.col("repeated") >= 0.5) | (F.col("function_share") < 0.15)
     stuffed = (F.col("n") >= MIN_WORDS) & enough & (F.col("repeated") >= MIN_REPEATED) & (few_sentences > MIN_EXCESS)
-    reason = F.when(listed, "LIST").when(stuffed, "STUFFED").when(F.coalesce(salad, F.lit(False)), "SALAD")
-    return scored.select("id", F.col("n").alias("words"), "function_share", "mark_share", "mean_pmi", "repeated", reason.alias("reason"))
+    # Function words among the plain words, against sentences of as many words.
+    own_share = F.when(F.col("plain") > 0, F.col("function") / F.col("plain"))
+    least = F.lit(usual) - DEVIATIONS * F.sqrt(F.lit(usual * (1 - usual)) / F.col("plain"))
+    wordy = (F.col("n") >= MIN_WORDS) & (2 * F.col("plain") >= F.col("n"))
+    cycled = F.coalesce(wordy & (F.col("excess") >= WHOLE_EXCESS) & (own_share < least), F.lit(False))
+    tagged = F.coalesce(wordy & (own_share < F.least(least, F.lit(MOSTLY * usual))), F.lit(False))
+    reason = F.when(listed, "LIST").when(stuffed | cycled, "STUFFED").when(tagged, "TAGS").when(F.coalesce(salad, F.lit(False)), "SALAD")
+    return scored.select("id", F.col("n").alias("words"), "function_share", "mark_share", "mean_pmi", "repeated", "excess", reason.alias("reason"))

@@ -72,6 +72,20 @@ def test_scores_match_a_plain_computation(spark):
             assert got[i] == pytest.approx(want)
 
 
+def test_long_cycles_and_lists_that_do_not_repeat(spark):
+    rng = random.Random(3)
+    letters = "bcdfgklmnprstv"
+    invented = ["".join(rng.choice(letters) + rng.choice("eiu") for _ in range(3)) for _ in range(400)]
+    chat = [(i, " ".join(rng.sample(CHAT, 1 + i % 4))) for i in range(200)]
+    spun = " ".join(f"best {a} for {b}" for a, b in zip(invented[250:300], invented[300:350]))
+    bad = {1000: " ".join(invented[:70] * 40), 1001: " ".join(invented[100:160]), 1002: ", ".join(invented[160:190]) + ".", 1003: " ".join([spun] * 3), 1004: CHAT[0] + " " + " ".join(invented[190:250])}
+    fine = {2000: " ".join(CHAT) + " " + " ".join(invented[:9]), 2001: " ".join(CHAT) * 60, 2002: " ".join(invented[:5])}
+    df = spark.createDataFrame([*chat, *bad.items(), *fine.items()], "doc_id bigint, text string")
+    got = {r["id"]: r for r in spam.page_scores(df, "doc_id", "text").collect()}
+    assert {i: r["reason"] for i, r in got.items() if r["reason"]} == {1000: "STUFFED", 1001: "TAGS", 1002: "TAGS", 1003: "STUFFED", 1004: "TAGS"}
+    assert got[1000]["repeated"] == got[1003]["repeated"] == 0 and got[1000]["excess"] > 0.9
+
+
 def test_word_salad(spark):
     rng = random.Random(2)
     vocabulary = sorted({w.strip(".,") for t in CHAT for w in t.split()})
