@@ -3,7 +3,9 @@
 The author's own words (see posts) are brought to one spelling, and links, tags and
 numbers to one mark each. Over the whole corpus, the pointwise mutual information of
 two neighbouring words is PMI(a, b) = ln(c(a b) N / (c(a .) c(. b))). A page is found
-when its mean PMI is too low for connected words (word salad), or when neighbours
+when its neighbours are too seldom neighbours on other pages (word salad: the mean of
+PMI / -ln(c(a b) / N) without the page's own counts, -1 where no other page has the
+pair, against the corpus distribution of that mean), or when neighbours
 that belong together (PMI at or above MIN_PMI) come back too often within a passage
 for the share of function words that sentences would have (stuffing, lists of
 products, links or tags).
@@ -31,8 +33,11 @@ BLOCK = 64
 MIN_WORDS = 8
 #: From here on two neighbours belong together.
 MIN_PMI = 1.0
-#: Mean PMI below which a page of SALAD_WORDS or more is word salad.
-SALAD_PMI, SALAD_WORDS = 1.5, 20
+#: Word salad has SALAD_WORDS or more and a connection this many times the distance
+#: from the corpus median to its lower quartile below that quartile.
+SALAD_WORDS, SALAD_DISTANCE = 20, 15.0
+#: Least distance, for corpora whose pages are all alike.
+LEAST_DISTANCE = 0.03
 #: Repeated collocations are held against this many times the share of function words.
 SENTENCE_WEIGHT = 2.5
 MIN_REPEATED, MIN_EXCESS = 0.25, -0.30
@@ -102,9 +107,9 @@ def neighbours(ws: list[str]) -> dict[tuple[str, str], list[int]]:
     return found
 
 
-_GRAM = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("tf", pa.int32()), ("again", pa.int32())]))
+_GRAM = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("tf", pa.int32()), ("again", pa.int32()), ("ta", pa.int32()), ("tb", pa.int32())]))
 _SCHEMA = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("function", pa.int32()), ("plain", pa.int32()), ("marks", pa.int32()), ("grams", _GRAM)])
-_DDL = "id bigint, n int, function int, plain int, marks int, grams array<struct<a:string,b:string,tf:int,again:int>>"
+_DDL = "id bigint, n int, function int, plain int, marks int, grams array<struct<a:string,b:string,tf:int,again:int,ta:int,tb:int>>"
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +117,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ws = words(own_text(text))
-            grams = [{"a": a, "b": b, "tf": c, "again": r} for (a, b), (c, r) in neighbours(ws).items()]
+            firsts, seconds = Counter(ws[:-1]), Counter(ws[1:])
+            grams = [{"a": a, "b": b, "tf": c, "again": r, "ta": firsts[a], "tb": seconds[b]} for (a, b), (c, r) in neighbours(ws).items()]
             rows.append({"id": i, "n": len(ws), "function": sum(w in FUNCTION_WORDS for w in ws), "plain": sum(w not in (L, T, N) for w in ws), "marks": sum(w in (L, T) for w in ws), "grams": grams})
             size += len(grams)
             if size > 50_000:  # long texts leave in smaller batches
@@ -135,7 +141,14 @@ def mutual_information(types: DataFrame, total: int) -> DataFrame:
     for word, other, name in (("a", "b", "ca"), ("b", "a", "cb")):
         single = types.groupBy(word).agg(F.sum("c").alias(name)).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         out = out.withColumn("_s", F.pmod(F.col(other), F.lit(SALTS)).cast("int")).join(single, [word, "_s"]).drop("_s")
-    return out.select("a", "b", F.log(F.col("c") * F.lit(float(total)) / (F.col("ca").cast("double") * F.col("cb"))).alias("pmi"))
+    return out.select("a", "b", "c", "ca", "cb", F.log(F.col("c") * F.lit(float(total)) / (F.col("ca").cast("double") * F.col("cb"))).alias("pmi"))
+
+
+def connection(total: int) -> Column:
+    """Normalised PMI of a page's pair on the other pages, from -1 (never together) to 1."""
+    others = F.lit(float(total)) - F.col("all_pairs")
+    c, ca, cb = (F.col(x) - F.col(y) for x, y in (("c", "tf"), ("ca", "ta"), ("cb", "tb")))
+    return F.when(c < 1, -1.0).when(c >= others, 1.0).otherwise(F.log(c * others / (ca.cast("double") * cb)) / -F.log(c / others))
 
 
 def expected_repeats(types: DataFrame, total: int) -> list[float]:
@@ -156,7 +169,7 @@ def beyond_length(whole: Column, pairs: Column, expected: list[float]) -> Column
 
 
 def page_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per page: id, words, function and mark shares, mean_pmi, repeated (share of pairs
+    """Per page: id, words, function and mark shares, mean_pmi, connection, repeated (share of pairs
     that are repeated collocations), excess (the same over the whole text, beyond what its
     length explains) and the reason to hold it for spam, or null. Pages with fewer than two words have no
     mean_pmi and are no spam. The measured pages are written to the shared folder, as
@@ -165,23 +178,25 @@ def page_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     path = run_dir(spark, "spam")
     measure(docs, id_col, text_col).write.parquet(path)
     pages = spark.read.schema(_DDL).parquet(path)
-    flat = pages.select("id", F.explode("grams").alias("g")).select("id", F.xxhash64("g.a").alias("a"), F.xxhash64("g.b").alias("b"), F.col("g.tf").alias("tf"), F.col("g.again").alias("again"))
+    flat = pages.select("id", (F.col("n") - 1).alias("all_pairs"), F.explode("grams").alias("g")).select("id", "all_pairs", F.xxhash64("g.a").alias("a"), F.xxhash64("g.b").alias("b"), F.col("g.tf").alias("tf"), F.col("g.again").alias("again"), F.col("g.ta").alias("ta"), F.col("g.tb").alias("tb"))
     usual_share = F.percentile_approx(F.when((F.col("n") >= MIN_WORDS) & (F.col("plain") > 0), F.col("function") / F.col("plain")), 0.5, 10_000)
     total, usual = pages.agg(F.sum(F.greatest(F.col("n") - 1, F.lit(0))), usual_share).first()
     total, usual = total or 1, usual or 0.0
     types = written(flat.groupBy("a", "b").agg(F.sum("tf").alias("c")), "pairs")
     known = flat.join(mutual_information(types, total), ["a", "b"])
-    sums = known.groupBy("id").agg(
-        F.sum("tf").alias("pairs"), (F.sum(F.col("tf") * F.col("pmi")) / F.sum("tf")).alias("mean_pmi"),
+    sums = written(known.groupBy("id").agg(
+        F.sum("tf").alias("pairs"), (F.sum(F.col("tf") * F.col("pmi")) / F.sum("tf")).alias("mean_pmi"), (F.sum(F.col("tf") * connection(total)) / F.sum("tf")).alias("connection"),
         (F.sum(F.when(F.col("pmi") >= MIN_PMI, F.col("again")).otherwise(0)) / F.sum("tf")).alias("repeated"),
         (F.sum(F.when((F.col("pmi") >= MIN_PMI) & (F.col("tf") > 1), F.col("tf")).otherwise(0)) / F.sum("tf")).alias("whole"),
-    )
+    ), "sums")
+    quarter, middle = sums.where(F.col("pairs") >= SALAD_WORDS - 1).agg(*(F.percentile_approx("connection", q, 10_000) for q in (0.25, 0.5))).first()
+    quarter, middle = (quarter or 0.0), (middle or 0.0)
     scored = pages.select("id", "n", F.when(F.col("n") > 0, F.col("function") / F.col("n")).otherwise(0.0).alias("function_share"), F.when(F.col("n") > 0, F.col("marks") / F.col("n")).otherwise(0.0).alias("mark_share"), "marks", "function", "plain")
     scored = scored.join(sums, "id", "left").withColumn("repeated", F.coalesce("repeated", F.lit(0.0)))
     scored = scored.withColumn("excess", F.coalesce(beyond_length(F.col("whole"), F.col("pairs"), expected_repeats(types, total)), F.lit(0.0)))
     few_sentences = F.col("repeated") - SENTENCE_WEIGHT * F.col("function_share") + F.when(F.col("mark_share") >= 0.12, 2 * F.col("mark_share")).otherwise(0.0)
     listed = (F.col("marks") >= LIST_MARKS) & (F.col("mark_share") >= LIST_SHARE)
-    salad = (F.col("n") >= SALAD_WORDS) & (F.col("mean_pmi") < SALAD_PMI)
+    salad = (F.col("n") >= SALAD_WORDS) & (F.col("connection") < quarter - SALAD_DISTANCE * max(middle - quarter, LEAST_DISTANCE))
     enough = (F.col("n") >= 30) | (F.col("repeated") >= 0.5) | (F.col("function_share") < 0.15)
     stuffed = (F.col("n") >= MIN_WORDS) & enough & (F.col("repeated") >= MIN_REPEATED) & (few_sentences > MIN_EXCESS)
     # Function words among the plain words, against sentences of as many words.
@@ -191,4 +206,4 @@ def page_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     cycled = F.coalesce(wordy & (F.col("excess") >= WHOLE_EXCESS) & (own_share < least), F.lit(False))
     tagged = F.coalesce(wordy & (own_share < F.least(least, F.lit(MOSTLY * usual))), F.lit(False))
     reason = F.when(listed, "LIST").when(stuffed | cycled, "STUFFED").when(tagged, "TAGS").when(F.coalesce(salad, F.lit(False)), "SALAD")
-    return scored.select("id", F.col("n").alias("words"), "function_share", "mark_share", "mean_pmi", "repeated", "excess", reason.alias("reason"))
+    return scored.select("id", F.col("n").alias("words"), "function_share", "mark_share", "mean_pmi", "connection", "repeated", "excess", reason.alias("reason"))

@@ -95,6 +95,20 @@ def test_word_salad(spark):
     assert got[999] < min(got[i] for i in range(200))
 
 
+def test_word_salad_is_found(spark):
+    rng = random.Random(4)
+    rare = [f"{a}{b}{c}" for a in ("ba", "ce", "di", "fu", "ge", "ki", "lu", "me", "ni", "ru") for b in ("ba", "ce", "di", "fu", "ge", "ki", "lu", "me", "ni", "ru") for c in ("ban", "cel", "dir", "fum", "gen", "kil", "lur", "mel", "nis", "rup")]
+    sentences = [[w for _ in range(3) for w in (rng.choice("the of and with from for to in by on".split()), *rng.sample(rare, 2))] for _ in range(200)]
+    stream = [w for x in sentences for w in x]
+    docs = [(i, ". ".join(" ".join(x) for x in rng.sample(sentences, 3))) for i in range(300)] + [(1000 + i, " ".join(rng.sample(stream, 80))) for i in range(5)]
+    scores = lambda rows: {r["id"]: r for r in spam.page_scores(spark.createDataFrame(rows, "d bigint, t string"), "d", "t").collect()}
+    got = scores(docs)
+    assert {i: r["reason"] for i, r in got.items() if r["reason"]} == {1000 + i: "SALAD" for i in range(5)}
+    # A pair that only the page itself has does not connect its words.
+    alone = scores([(1, "alpha beta gamma"), (2, "delta beta gamma")])
+    assert alone[1]["connection"] == pytest.approx((-1 + 1 * math.log(1 * 2 / (1 * 1)) / math.log(2)) / 2)
+
+
 # -- packing --------------------------------------------------------------------------
 
 @settings(max_examples=40, deadline=None)
