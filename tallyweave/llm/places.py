@@ -28,6 +28,7 @@ ACCENTED = "áàâãäåéèêëíìîïóòôõöøúùûüçñýÿ"
 PLAIN = "aaaaaaeeeeiiiioooooouuuucnyy"
 DIGITS, LOOKALIKE = "01345", "oieas"
 MOJIBAKE = {"¡": "a", "¢": "a", "£": "a", "¤": "a", "©": "e", "ª": "e", "¨": "e", "\xad": "i", "³": "o", "´": "o", "µ": "o", "¶": "o", "º": "u", "¼": "u", "§": "c", "±": "n", "\x81": "a", "\x89": "e", "\x8d": "i", "\x93": "o", "\x9a": "u", "\x87": "c", "\x83": "a", "‡": "c", "‰": "e", "“": "o", "š": "u", "ƒ": "a", "•": "o", "‚": "a", "\xa0": "a", "€": "a", "\x80": "a", "\x95": "o", "\x82": "a", "\x8a": "e", "\x94": "o", "Š": "e", "”": "o"}
+STATE = r"(?:^|[-–/(\[,:;|])\P{L}*(?:(?:UF|EST|ESTADO|STATE)\P{L}*(?:D[EOA]\P{L}+)?)?([A-Z][. ]?[A-Z])\P{L}*$"
 OFFICE = r"^(?:(?:municipio|mun|pref|prefeitura(?: municipal)?|cidade|distrito(?: sede)?|distr?|centro|bairro)(?: de| do| da)? )+"
 
 
@@ -45,8 +46,10 @@ def clean(c: Column | str) -> Column:
 
 
 def state_code(c: Column | str) -> Column:
-    """The two letters that a typed state ends in, without points; null if none."""
-    t = F.regexp_extract(F.upper(trim_low(c)), r"([A-Z])[. ]?([A-Z])\W*$", 0)
+    """The two letters of a typed state, without points, where they are the whole value
+    or follow a word for state or a dash, slash or the like; null if none. The last
+    letters of a name are no code."""
+    t = F.regexp_extract(F.upper(trim_low(c)), STATE, 1)
     t = F.regexp_replace(t, "[^A-Z]", "")
     return F.when(F.length(t) == 2, t)
 

@@ -93,3 +93,12 @@ def test_empty_list_and_no_places(spark):
     df = spark.createDataFrame([("KR", "Ponte")], "state string, city string")
     assert [r["mun_code"] for r in places.map_places(df, empty).collect()] == [0]
     assert places.map_places(df.limit(0), spark.createDataFrame(LIST, PLACES)).count() == 0
+
+
+def test_the_end_of_a_state_name_is_no_code(spark):
+    codes = {"SP": "SP", " s.p. ": "SP", "Est. RJ": "RJ", "UF: ba": "BA", "Estado de SE": "SE", "Sergipe - SE": "SE", "(PE)": "PE", "Rio de Janeiro": None, "Sergipe": None, "Paraíba": None, "Paraiba": None, "Maranhão": None, "": None}
+    got = {r[0]: r[1] for r in spark.createDataFrame([(c,) for c in codes], "state string").select("state", places.state_code("state")).collect()}
+    assert got == codes
+    listed = spark.createDataFrame([(1, "RJ", "Niteroi", 5), (2, "RO", "Vilhena", 5)], "mun_code int, uf string, municipio string, peso int")
+    meant = places.map_places(spark.createDataFrame([("Rio de Janeiro", "Niteroy")], "state string, city string"), listed)
+    assert [r["mun_code"] for r in meant.collect()] == [1]
