@@ -71,7 +71,8 @@ def p1_lateness_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_sliding_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Votes per sliding window of 60 s every 15 s: the same panes, composed differently."""
+    """Deliveries of votes, copies too, per sliding window of 60 s every 15 s: the same
+    panes, composed differently."""
     sliding = Slicing(size=60_000, slide=15_000, delay=5_000, cutoff=300_000, tick=5_000)
     votes = table(spark, d, "vote_cast", "castAt", "arrivedAt")
     panes = to_panes(votes, F.unix_millis("castAt"), F.unix_millis("arrivedAt"), sliding)
