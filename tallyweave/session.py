@@ -31,26 +31,40 @@ def build_session(app: str = "tallyweave", master: str | None = None, **conf: ob
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is
-    unset (one machine, tests), a temporary folder of our own."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, or the checkpoint folder
+    that the session was given. Only where neither is set and everything runs on one
+    machine (tests) it is a temporary folder of our own."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
-        spark.sparkContext.setCheckpointDir(own)
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
+    context.setCheckpointDir(own)
     return own
 
 
+#: Folders of this driver that may go when their frames have been read.
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
 def run_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new folder under the shared one; removed when the driver ends unless ``keep``."""
+    """A new folder under the shared one; removed by ``release`` or when the driver ends
+    unless ``keep``."""
     path = f"{shared_dir(spark)}/tallyweave/{name}-{uuid.uuid4().hex[:12]}"
     if not keep:
-        atexit.register(_forget, spark, path)
+        _FOLDERS.append((spark, path))
     return path
 
 
+@atexit.register
+def release() -> None:
+    """Remove the folders of all results so far; call it when these have been read."""
+    while _FOLDERS:
+        _forget(*_FOLDERS.pop())
+
+
 def filesystem(spark: SparkSession, path: str):
     """The Hadoop file system of a path, and the path as its object."""
     jvm = spark.sparkContext._jvm
@@ -70,13 +84,15 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df, name: str):
+def written(df, name: str, by: str | None = None):
     """``df`` written to the shared folder and read back: a lineage cut that survives
-    the loss of executors, for frames that several steps read."""
+    the loss of executors, for frames that several steps read. ``by`` names a column of
+    few values; rows of one value can then be read by themselves."""
     spark = df.sparkSession
     path = run_dir(spark, name)
+    writer = df.write.partitionBy(by) if by else df.write
     schema = df.schema
-    df.write.parquet(path)
+    writer.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -87,6 +103,15 @@ def is_small(df, limit_bytes: int = 8 << 20) -> bool:
     return int(str(size)) <= limit_bytes
 
 
+def few_rows(df, most: int, what: str) -> list:
+    """All rows of a frame that has few by its nature; more than ``most`` are refused, as
+    the driver holds them. Nothing is left out."""
+    found = df.take(most + 1)
+    if len(found) > most:
+        raise ValueError(f"more than {most} {what}")
+    return found
+
+
 def broadcast_if_small(df, limit_bytes: int = 8 << 20):
     """``df`` with a broadcast hint where its size is proven, else as it is."""
     from pyspark.sql import functions as F
