@@ -76,7 +76,9 @@ def make_plan(rows: DataFrame, keys: tuple[str, ...], tasks: int, load: Column |
 
 def _with_tasks(df: DataFrame, plan: Plan, name: str) -> DataFrame:
     """Add the array of tasks that hold a row's key."""
-    light = F.array(F.element_at(F.array(*map(F.lit, plan.light)), _group(plan.keys, len(plan.light)) + 1))
+    # One literal, whatever the number of tasks; it is folded to an array of ints.
+    places = F.split(F.lit(",".join(map(str, plan.light))), ",").cast("array<int>")
+    light = F.array(F.element_at(places, _group(plan.keys, len(plan.light)) + 1))
     if not plan.hot:
         return df.withColumn(name, light)
     spark = df.sparkSession
@@ -105,30 +107,47 @@ def replicate(df: DataFrame, plan: Plan, task: str = "_task", move: bool = True)
     return copies.repartitionById(plan.tasks, F.col(task)) if move else copies
 
 
-def balanced_counts(rows: DataFrame, keys: tuple[str, ...], spread: list[str], tasks: int, load: Column | None = None, **aggregates: Column) -> DataFrame:
+def balanced_counts(rows: DataFrame, keys: tuple[str, ...], spread: list[str], tasks: int, load: Column | None = None, match: DataFrame | None = None, **aggregates: Column) -> DataFrame:
     """Per-key results with every task carrying about the same load.
 
     Returns keys, ``n`` (rows) and ``load``, and the given ``aggregates``, which must
     be sums or counts over rows (``spread`` must hold the columns of a distinct
-    count, so that shards add up). Null keys form a group of their own; an empty
-    input gives no rows."""
+    count, so that shards add up). A ``match`` frame (the keys and other columns, at most
+    one row per key) is copied to the shards of its keys only and joined there; its columns
+    may stand in ``aggregates`` and come out with the key (null: no match). Null keys form
+    a group of their own and match nothing; an empty input gives no rows."""
     load = F.lit(1) if load is None else load
     rows = rows.withColumn("_load", load)
     plan = make_plan(rows, keys, tasks, F.col("_load"))
     parts = fragment(rows, plan, spread)
-    partial = parts.groupBy("_task", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_load").alias("load"), *(a.alias(k) for k, a in aggregates.items()))
-    return partial.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "load", *aggregates)))
+    told = [c for c in match.columns if c not in keys] if match is not None else []
+    if match is not None:
+        parts = parts.join(replicate(match, plan), ["_task", *keys], "left")
+    partial = parts.groupBy("_task", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_load").alias("load"), *(a.alias(k) for k, a in aggregates.items()), *(F.first(c).alias(c) for c in told))
+    return partial.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "load", *aggregates)), *(F.first(c).alias(c) for c in told))
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], spread: list[str], tasks: int, how: str = "inner") -> DataFrame:
+def combined(rows: DataFrame, keys: tuple[str, ...], spread: list[str], tasks: int) -> DataFrame:
+    """Rows summed up to (keys, ``_salt``, ``_rows``) before anything is moved: a map task
+    sends at most GROUPS_PER_TASK * tasks rows of one key, however many it has read. The
+    salt comes from the ``spread`` columns and tells later which shard they go to."""
+    salt = F.pmod(F.xxhash64(*spread), F.lit(GROUPS_PER_TASK * tasks)).cast("int")
+    return rows.groupBy(*keys, salt.alias("_salt")).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], spread: list[str], tasks: int, how: str = "inner", estimate: DataFrame | None = None) -> DataFrame:
     """Equi-join of a skewed left side: hot keys are split, and the right side's rows
     are copied only to the shards of their key. ``how``: inner, left, left_semi or
     left_anti; null keys match nothing. Columns of the right side that the left has
-    too (other than the keys) are refused."""
+    too (other than the keys) are refused. ``estimate`` may give the keys' loads more
+    cheaply than ``left`` does: a frame with the key columns whose rows are spread over
+    keys alike. Without hot keys the join is Spark's own."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot do a {how} join")
     clash = (set(left.columns) & set(right.columns)) - set(keys)
     if clash:
         raise ValueError(f"both sides have {sorted(clash)}")
-    plan = make_plan(left, keys, tasks)
+    plan = make_plan(left if estimate is None else estimate, keys, tasks)
+    if not plan.hot:
+        return left.join(right, list(keys), how)
     return fragment(left, plan, spread).join(replicate(right, plan), ["_task", *keys], how).drop("_task")

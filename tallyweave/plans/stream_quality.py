@@ -7,19 +7,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallyweave.functions.text import filled, message_key, trim_low
 from tallyweave.functions.windows import named_instant_ms
 from tallyweave.operators import late
-from tallyweave.operators.hotkeys import balanced_counts
-from tallyweave.operators.late import LATE, Slicing, compose, first_copies, lateness, pane_log, to_panes
+from tallyweave.operators.hotkeys import balanced_counts, combined, skew_join
+from tallyweave.operators.late import Slicing, compose, first_copies, lateness, pane_log, to_panes
 from tallyweave.operators.orphans import DELETED, LATE as LATE_PARENT, MISSING, OK, reference_status
+from tallyweave.operators.panes import PaneStore
 from tallyweave.operators.redelivery import KEY, SEQ, DeliveryStore
-from tallyweave.session import run_dir
+from tallyweave.session import broadcast_if_small, is_small, run_dir, written
 from tallyweave.sources.tables import table
 
 SLICING = Slicing(size=15_000, delay=5_000, cutoff=300_000, tick=5_000)
 #: A key is reported as hot from this share of all rows, or of all weight.
 HOT_SHARE = 1 / 20
-#: Length of one period of the one-copy store, and of the orphan report.
-PART_SECONDS = 86_400
+#: Length of one period of the stores, and of the orphan report.
 PERIOD_SECONDS = 3_600
+#: Steps in which the history is brought into the stores of problems 1 and 6.
+PANE_STEPS, DELIVERY_BATCHES = 4, 8
 
 
 def tasks(spark: SparkSession) -> int:
@@ -52,17 +54,47 @@ def late_messages(spark: SparkSession, d: str) -> DataFrame:
     return first_copies(timed_rows(spark, d), "_key", "arrival_seq", "tbl").withColumn("status", lateness(SLICING))
 
 
+def arrival_steps(spark: SparkSession, d: str) -> DataFrame:
+    """First copies with the ``step`` in which they arrive: PANE_STEPS stretches of the
+    arrival clock of equal length, written so that each can be read by itself."""
+    rows = first_copies(timed_rows(spark, d), "_key", "arrival_seq", "tbl").drop("_key")
+    bounds = table(spark, d, "vote_cast", "arrivedAt").unionByName(table(spark, d, "accepted", "arrivedAt")).agg(F.min(F.unix_millis("arrivedAt")), F.max(F.unix_millis("arrivedAt"))).first()
+    low, high = (x // SLICING.tick if x is not None else 0 for x in bounds)
+    step = F.floor((F.col("tick") - F.lit(low)) * PANE_STEPS / F.lit(high - low + 1))
+    return written(rows.withColumn("step", F.greatest(F.least(F.coalesce(step, F.lit(0)), F.lit(PANE_STEPS - 1)), F.lit(0)).cast("int")), "arrivals", "step")
+
+
+def paned(spark: SparkSession, d: str) -> tuple[DataFrame, PaneStore]:
+    """The rows, and the pane store after it has taken them in step by step."""
+    rows = arrival_steps(spark, d)
+    store = PaneStore(spark, run_dir(spark, "panes"), SLICING, ("tbl", "phase"))
+    for step in range(PANE_STEPS):
+        store.apply(rows.where(F.col("step") == step))
+    return rows, store
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that correct a window after its close and before its cut-off."""
-    return late_messages(spark, d).where(F.col("status") == LATE).select("tbl", "arrival_seq")
+    """Rows that correct a window after its close and before its cut-off: those whose
+    pane and tick made the store emit a closed window again."""
+    rows, store = paned(spark, d)
+    corrected = written(store.corrections(rows), "corrected")
+    keys = ("tbl", "phase", "pane_ms", "tick")
+    narrow = rows.where("pane_ms is not null").select(*keys, "arrival_seq")
+    if is_small(corrected):
+        found = narrow.join(F.broadcast(corrected), list(keys), "left_semi")  # its size is checked
+    else:
+        found = skew_join(narrow, corrected, keys, ["arrival_seq"], tasks(spark), "left_semi")
+    return found.select("tbl", "arrival_seq")
+
+
+def _shifted(counts: DataFrame) -> DataFrame:
+    shift = F.make_dt_interval(secs=(F.col("phase") / 1000).cast("decimal(18,6)"))
+    return counts.select("tbl", *((F.col(c) + shift).alias(c) for c in ("window_start", "window_end", "emitted_at")), "revision", "delta", "n")
 
 
 def p1_window_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts per window as of the close (revision 0) and after each correction."""
-    log = pane_log(late_messages(spark, d), "tbl", "phase")
-    counts = compose(log, SLICING, "tbl", "phase")
-    shift = F.make_dt_interval(secs=(F.col("phase") / 1000).cast("decimal(18,6)"))
-    return counts.select("tbl", *((F.col(c) + shift).alias(c) for c in ("window_start", "window_end", "emitted_at")), "revision", "delta", "n")
+    return _shifted(paned(spark, d)[1].counts())
 
 
 def p1_lateness_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -81,13 +113,22 @@ def p1_sliding_counts(spark: SparkSession, d: str) -> DataFrame:
 
 # -- 3: a few keys holding most records ------------------------------------
 
-def keyed_votes(spark: SparkSession, d: str) -> DataFrame:
-    votes = table(spark, d, "vote_cast", "state", "candidateId", "voterId")
+def _dimensions(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """One row per vote and dimension: dim, key_value (null and blank too) and ``more``."""
+    votes = table(spark, d, "vote_cast", "state", "candidateId", *more)
     dims = F.array(
         F.struct(F.lit("state").alias("dim"), F.upper(trim_low("state")).alias("key_value")),
         F.struct(F.lit("candidateId").alias("dim"), trim_low("candidateId").alias("key_value")),
     )
-    return votes.select(trim_low("voterId").alias("voter"), F.explode(dims).alias("k")).select("k.dim", "k.key_value", "voter")
+    return votes.select(F.explode(dims).alias("k"), *more).select("k.dim", "k.key_value", *more)
+
+
+def list_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The matching side: how many entries of its list a state or candidate has."""
+    states = table(spark, d, "municipios", "uf").select(F.lit("state").alias("dim"), F.upper(trim_low("uf")).alias("key_value"))
+    candidates = table(spark, d, "candidatos", "numero").select(F.lit("candidateId").alias("dim"), trim_low("numero").alias("key_value"))
+    both = states.unionByName(candidates).where(filled(F.col("key_value")))
+    return both.groupBy("dim", "key_value").agg(F.count(F.lit(1)).alias("entries"))
 
 
 def keyed_places(spark: SparkSession, d: str) -> DataFrame:
@@ -95,27 +136,36 @@ def keyed_places(spark: SparkSession, d: str) -> DataFrame:
     return places.select(F.lit("municipio").alias("dim"), F.concat("uf", F.lit("/"), "municipio").alias("key_value"), "mun_code", "peso")
 
 
+def key_loads(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of every key of both dimensions, and the entries of its list. Rows are summed
+    up where they are read; the sums are the loads that are packed to tasks and sharded,
+    and the list is copied to the shards of its keys."""
+    n = tasks(spark)
+    rows = combined(_dimensions(spark, d).withColumn("_row", F.monotonically_increasing_id()), ("dim", "key_value"), ["_row"], n)
+    return balanced_counts(written(rows, "loads"), ("dim", "key_value"), ["_salt"], n, load=F.col("_rows"), match=list_entries(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Keys that hold at least 1/20 of all rows, places with at least 1/20 of the weight."""
-    n = tasks(spark)
-    counts = balanced_counts(keyed_votes(spark, d).drop("voter").withColumn("_row", F.monotonically_increasing_id()), ("dim", "key_value"), ["_row"], n)
-    # Every row counts once per dimension, null and blank values too.
-    total = counts.groupBy("dim").agg(F.sum("n").alias("total"))
-    votes = counts.join(F.broadcast(total), "dim").where(filled(F.col("key_value")) & (F.col("n") * 20 >= F.col("total")))
+    counts = key_loads(spark, d)
+    # Every row counts once per dimension, null and blank values too; one row per dimension.
+    total = counts.groupBy("dim").agg(F.sum("load").alias("total"))
+    votes = counts.join(F.broadcast(total), "dim").where(filled(F.col("key_value")) & (F.col("load") * 20 >= F.col("total")))
     places = keyed_places(spark, d)
-    weights = balanced_counts(places, ("dim", "key_value", "mun_code"), ["mun_code"], n, load=F.col("peso"))
+    weights = balanced_counts(places, ("dim", "key_value", "mun_code"), ["mun_code"], tasks(spark), load=F.col("peso"))
     all_weight = weights.groupBy("dim").agg(F.sum("load").alias("total"))
     heavy = weights.join(F.broadcast(all_weight), "dim").where(F.col("load") * 20 >= F.col("total"))
     return votes.select("dim", "key_value").unionByName(heavy.select("dim", "key_value").distinct())
 
 
 def p3_key_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and different voters per state and per candidate. Rows of one voter stay
-    in one shard, so the shards' distinct counts add up."""
+    """Rows and different voters per state and per candidate, and the entries of their
+    list. Rows of one voter stay in one shard, so the shards' distinct counts add up."""
+    rows = _dimensions(spark, d, "voterId").select("dim", "key_value", trim_low("voterId").alias("voter")).where(filled(F.col("key_value")))
     return balanced_counts(
-        keyed_votes(spark, d).where(filled(F.col("key_value"))), ("dim", "key_value"), ["voter"], tasks(spark),
+        rows, ("dim", "key_value"), ["voter"], tasks(spark), match=list_entries(spark, d),
         voters=F.countDistinct("voter"),
-    ).select("dim", "key_value", "n", "voters")
+    ).select("dim", "key_value", "n", "voters", F.coalesce("entries", F.lit(0)).alias("entries"))
 
 
 # -- 4: references to records that do not exist -----------------------------
@@ -179,27 +229,30 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 # -- 6: messages delivered more than once ------------------------------------
 
 def deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Both tables as the one-copy store takes them, with the hour of arrival as period."""
     out = None
     for name in ("vote_cast", "accepted"):
         t = table(spark, d, name, "receipt", "voterId", "arrival_seq", "batch_no", "arrivedAt")
-        part = F.coalesce(F.floor(F.unix_seconds("arrivedAt") / PART_SECONDS), F.lit(-1)).cast("int")
+        part = F.coalesce(F.floor(F.unix_seconds("arrivedAt") / PERIOD_SECONDS), F.lit(-1)).cast("int")
         t = t.select(F.lit(name).alias("tbl"), message_key("receipt", "voterId").alias(KEY), F.col("arrival_seq").alias(SEQ), part.alias("part"), "batch_no")
         out = t if out is None else out.unionByName(t)
     return out
 
 
 def deduplicate(spark: SparkSession, d: str) -> tuple[DeliveryStore, DataFrame]:
-    """Load what the earlier half of the delivery batches brought, then bring in the
-    later half as one incoming delivery. The result does not depend on the cut: the
-    lowest arrival of a message wins in whatever order batches are applied."""
-    rows = deliveries(spark, d)
-    bounds = rows.agg(F.min("batch_no").alias("low"), F.max("batch_no").alias("high")).first()
+    """Bring the delivery batches in, in DELIVERY_BATCHES groups of consecutive numbers,
+    as they would come; each is one incremental step of the store. The result does not
+    depend on the cut: the lowest arrival of a message wins in whatever order batches are
+    applied. Rows without a batch number come last."""
+    bounds = table(spark, d, "vote_cast", "batch_no").unionByName(table(spark, d, "accepted", "batch_no")).agg(F.min("batch_no").alias("low"), F.max("batch_no").alias("high")).first()
     low, high = bounds["low"] or 0, bounds["high"] or 0
-    earlier = F.coalesce(F.col("batch_no") <= (low + high) // 2, F.lit(False))
-    store = DeliveryStore(spark, run_dir(spark, "deliveries"))
+    step = F.floor((F.col("batch_no") - low) * DELIVERY_BATCHES / (high - low + 1)).cast("int")
+    rows = written(deliveries(spark, d).withColumn("step", F.coalesce(step, F.lit(DELIVERY_BATCHES - 1))).drop("batch_no"), "deliveries", "step")
+    store = DeliveryStore(spark, run_dir(spark, "one-copy"), buckets=tasks(spark))
     dropped = None
-    for batch in (rows.where(earlier), rows.where(~earlier)):
-        done = store.apply(batch.drop("batch_no")).dropped
+    for k in range(DELIVERY_BATCHES):
+        done = store.apply(rows.where(F.col("step") == k).drop("step")).dropped
+        store.vacuum()
         dropped = done if dropped is None else dropped.unionByName(done)
     return store, dropped
 
@@ -212,7 +265,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_kept_per_day(spark: SparkSession, d: str) -> DataFrame:
     """Messages kept per table and day of arrival, counted in the store."""
     store, _ = deduplicate(spark, d)
-    day = F.date_format(F.date_from_unix_date("part"), "yyyy-MM-dd")
+    day = F.date_format(F.timestamp_seconds(F.col("part").cast("bigint") * PERIOD_SECONDS), "yyyy-MM-dd")
     return store.kept().groupBy("tbl", F.when(F.col("part") >= 0, day).alias("day")).agg(F.count(F.lit(1)).alias("messages"))
 
 

@@ -97,7 +97,9 @@ ORACLES = {
         select distinct 'municipio', uf || '/' || municipio from municipios where peso * 20 >= (select sum(peso) from municipios)""",
     "p3_key_counts": f"""
         with k as (select 'state' dim, upper({trim('state')}) key_value, {trim('voterId')} voter from vote_cast union all select 'candidateId', {trim('candidateId')}, {trim('voterId')} from vote_cast)
-        select dim, key_value, count(*) n, count(distinct voter) voters from k where coalesce(key_value,'') <> '' group by all""",
+        select dim, key_value, count(*) n, count(distinct voter) voters,
+               case when dim = 'state' then (select count(*) from municipios where upper(uf) = key_value) else (select count(*) from candidatos where {trim('numero')} = key_value) end entries
+        from k where coalesce(key_value,'') <> '' group by all""",
     "p4_found": f"with {REFS} select tbl, field, arrival_seq from judged where status in ('MISSING','DELETED') or (status='LATE' and field <> 'windowId')",
     "p4_report": f"with {REFS} select tbl, field, make_timestamptz((arr - arr % 3600000) * 1000) period, status, count(*) refs from judged group by all",
     "p6_found": f"with {COPIES} select tbl, arrival_seq from ranked where i > 1",

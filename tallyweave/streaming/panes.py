@@ -1,43 +1,27 @@
-"""Late events under Structured Streaming: panes as state, windows recomposed on change.
+"""Late events under Structured Streaming: each micro-batch is one step of a pane store.
 
-The stream counts rows per (pane, tick of arrival) and emits a tick once its arrival
-time has passed; the arrival clock, not the devices', is the watermark, so a wrong
-device clock cannot close anything. Each batch appends what its ticks changed to the
-pane log and emits the windows that cover the changed panes again.
+There is no watermark, as one would drop what comes out of order: rows are counted by
+the arrival time that they carry, whichever file they come in and whenever.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyweave.operators.late import Slicing, compose, to_panes
+from tallyweave.operators.late import Slicing, to_panes
+from tallyweave.operators.panes import PaneStore
 
-LOG = "pane_ms bigint, tick bigint, n bigint"
-WAIT = "1 millisecond"
 
+def emit_corrections(rows: DataFrame, event: str, arrived: str, slicing: Slicing, folder: str, **trigger):
+    """A query that brings a stream of rows into the pane store in ``folder``/store. A
+    batch that is repeated after a failure is not counted twice."""
+    panes = to_panes(rows, F.unix_millis(event), F.unix_millis(arrived), slicing).select("pane_ms", "tick")
+    return step_panes(panes, PaneStore(rows.sparkSession, f"{folder}/store", slicing), f"{folder}/checkpoint", **trigger)
 
-def pane_counts(rows: DataFrame, event: str, arrived: str, slicing: Slicing) -> DataFrame:
-    """Streaming counts per pane and tick; state of a tick goes when the tick is over."""
-    timed = to_panes(rows, F.unix_millis(event), F.unix_millis(arrived), slicing).where("pane_ms is not null")
-    shifted = F.timestamp_millis(F.unix_millis(arrived))
-    return timed.withColumn("_t", shifted).withWatermark("_t", WAIT).groupBy(F.window("_t", f"{slicing.tick} milliseconds").alias("_w"), "pane_ms", "tick").agg(F.count(F.lit(1)).alias("n")).select("pane_ms", "tick", "n")
-
-
-def emit_corrections(rows: DataFrame, event: str, arrived: str, slicing: Slicing, folder: str):
-    """A query that keeps ``folder``/panes (the log) and writes ``folder``/emissions, one
-    sub-folder a batch: every window that a changed pane belongs to, with its counts."""
-    spark = rows.sparkSession
 
+def step_panes(panes: DataFrame, store: PaneStore, checkpoint: str, **trigger):
+    """The same for rows that have pane and tick already."""
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/panes/batch={number}")
-        log = spark.read.schema(LOG + ", batch int").parquet(f"{folder}/panes").where(F.col("batch") <= number)
-        changed = log.where(F.col("batch") == number).select("pane_ms").distinct()
-        reach = slicing.size // slicing.pane
-        near = changed.select(F.explode(F.transform(F.sequence(F.lit(1 - reach), F.lit(reach - 1)), lambda i: F.col("pane_ms") + i * slicing.pane)).alias("pane_ms")).distinct()
-        parts = log.groupBy("pane_ms", "tick").agg(F.sum("n").alias("n")).join(near, "pane_ms", "left_semi")
-        covered = F.transform(F.sequence(F.lit(0), F.lit(slicing.size // slicing.step - 1)), lambda i: F.col("pane_ms") - F.pmod(F.col("pane_ms"), F.lit(slicing.step)) - i * slicing.step)
-        touched = changed.select(F.explode(covered).alias("_ms")).select(F.timestamp_millis("_ms").alias("window_start")).distinct()
-        compose(parts, slicing).join(touched, "window_start", "left_semi").write.mode("overwrite").parquet(f"{folder}/emissions/batch={number}")
-
-    counts = pane_counts(rows, event, arrived, slicing)
-    return counts.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(step)
+        store.apply(batch, number)
+
+    return panes.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(step)

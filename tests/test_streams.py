@@ -7,6 +7,7 @@ from tallyweave.operators import admission, tally, timeline
 from tallyweave.sources import wire
 from tallyweave.streaming import panes, pipeline
 from tallyweave.operators.late import Slicing, compose, pane_log, to_panes
+from tallyweave.operators.panes import PaneStore
 
 CONTROL = "schemaVersion int, type string, electionId string, at timestamp"
 
@@ -67,20 +68,44 @@ def test_control_events_move_the_watermark_and_never_count(spark, tmp_path):
     assert rows(spark.table("marks"), "windowId", "count") == [("2026-10-04T13:00:00Z", 2)]
 
 
-def test_streamed_panes_equal_the_batch_form(spark, tmp_path):
+def test_streamed_panes_count_whatever_comes_when(spark, tmp_path):
+    """Files in any order: the oldest arrivals come last. Every row is counted, and what was
+    emitted last for each closed window is what the batch form says."""
     s = Slicing(size=30_000, slide=15_000, delay=5_000, cutoff=60_000, tick=5_000)
     lag = [0, 1, 30, 3, 70, 0, 45, 8, 200, 2]
-    events = [(i, at(i * 4), at(i * 4 + lag[i % 10])) for i in range(1, 50)]
-    df = spark.createDataFrame(events, "n int, event timestamp, arrived timestamp")
-    ordered = df.withColumn("r", F.expr("row_number() over (order by arrived, n)"))
-    last = spark.createDataFrame([(99, None, at(5000))], "n int, event timestamp, arrived timestamp")
-    feed(ordered, f"{tmp_path}/in", "r", 5)
-    last.withColumn("r", F.lit(99)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(ordered.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    events = [(i, at(i * 4), at(i * 4 + lag[i % 10]) if i % 17 else None) for i in range(1, 50)] + [(99, None, at(5000))]
+    df = spark.createDataFrame(events, "n int, event timestamp, arrived timestamp").cache()
+    for cut in ("arrived >= timestamp_millis(%d)" % ms(200), "arrived < timestamp_millis(%d) and n %% 2 = 0" % ms(200), "arrived is null or (arrived < timestamp_millis(%d) and n %% 2 = 1)" % ms(200)):
+        df.where(cut).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     panes.emit_corrections(stream, "event", "arrived", s, f"{tmp_path}/out").start().awaitTermination()
     want = compose(pane_log(to_panes(df, F.unix_millis("event"), F.unix_millis("arrived"), s)), s)
-    got = spark.read.parquet(f"{tmp_path}/out/emissions").groupBy("window_start", "revision").agg(F.max_by("n", "batch").alias("n"))
-    assert rows(got, "window_start", "revision", "n") == rows(want, "window_start", "revision", "n")
+    store = PaneStore(spark, f"{tmp_path}/out/store", s)
+    assert rows(store.counts(), "window_start", "revision", "n") == rows(want, "window_start", "revision", "n")
+    told = store.emissions()
+    last = told.join(told.groupBy("window_ms").agg(F.max("version").alias("version")), ["window_ms", "version"])
+    assert rows(last, "window_start", "revision", "n") == rows(want, "window_start", "revision", "n")
+    assert told.select("version").distinct().count() == 3
+    # A batch that is repeated after a failure counts once; one without rows changes nothing.
+    batch = to_panes(df, F.unix_millis("event"), F.unix_millis("arrived"), s)
+    assert not store.apply(batch, 2) and store.apply(batch.limit(0), 3)
+    assert rows(store.counts(), "window_start", "n") == rows(want, "window_start", "n")
+
+
+def test_only_windows_over_changed_panes_are_emitted(spark, tmp_path):
+    s = Slicing(size=30_000, slide=15_000, delay=5_000, cutoff=60_000, tick=5_000)
+    store = PaneStore(spark, f"file://{tmp_path}/s", s, ("g",), period_ms=60_000)
+    step = lambda data: store.apply(to_panes(spark.createDataFrame(data, "g string, e bigint, a bigint"), F.col("e"), F.col("a"), s))
+    emitted = lambda v: rows(store.emissions().where(F.col("version") == v), "g", "window_ms", "revision", "n")
+    assert store.counts().count() == 0 and store.corrections(spark.createDataFrame([], "g string, pane_ms bigint, tick bigint")) is None
+    step([("a", 1_000, 2_000), ("a", 200_000, 201_000), (None, 16_000, 17_000)])
+    # Windows that the arrival clock has closed; the two over the last pane stay open.
+    assert emitted(1) == sorted([("a", -15_000, 0, 1), ("a", 0, 0, 1), (None, 0, 0, 1), (None, 15_000, 0, 1)], key=str)
+    step([("a", 20_000, 52_000), ("a", 300_000, 301_000), ("a", 1_000, 299_000)])
+    # One late row: the windows at 0 and 15 s are corrected; the row beyond the cut-off changes nothing.
+    assert emitted(2) == sorted([("a", 0, 0, 1), ("a", 0, 4, 2), ("a", 15_000, 1, 1), ("a", 180_000, 0, 1), ("a", 195_000, 0, 1)], key=str)
+    late = to_panes(spark.createDataFrame([("a", 20_000, 52_000), ("a", 1_000, 299_000), ("a", 200_000, 201_000), ("b", 20_000, 52_000)], "g string, e bigint, a bigint"), F.col("e"), F.col("a"), s)
+    assert rows(store.corrections(late), "g", "pane_ms") == [("a", 15_000)]
 
 
 def test_sentinel_and_heartbeats(spark):
