@@ -135,19 +135,19 @@ def combined(rows: DataFrame, keys: tuple[str, ...], spread: list[str], tasks: i
     return rows.groupBy(*keys, salt.alias("_salt")).agg(F.count(F.lit(1)).alias("_rows"))
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], spread: list[str], tasks: int, how: str = "inner", estimate: DataFrame | None = None) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], spread: list[str], tasks: int, how: str = "inner", estimate: DataFrame | None = None, load: Column | None = None) -> DataFrame:
     """Equi-join of a skewed left side: hot keys are split, and the right side's rows
     are copied only to the shards of their key. ``how``: inner, left, left_semi or
     left_anti; null keys match nothing. Columns of the right side that the left has
     too (other than the keys) are refused. ``estimate`` may give the keys' loads more
-    cheaply than ``left`` does: a frame with the key columns whose rows are spread over
-    keys alike. Without hot keys the join is Spark's own."""
+    cheaply than ``left`` does: a frame with the key columns, each row of which stands for
+    ``load`` rows (default 1). Without hot keys the join is Spark's own."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot do a {how} join")
     clash = (set(left.columns) & set(right.columns)) - set(keys)
     if clash:
         raise ValueError(f"both sides have {sorted(clash)}")
-    plan = make_plan(left if estimate is None else estimate, keys, tasks)
+    plan = make_plan(left if estimate is None else estimate, keys, tasks, load)
     if not plan.hot:
         return left.join(right, list(keys), how)
     return fragment(left, plan, spread).join(replicate(right, plan), ["_task", *keys], how).drop("_task")
