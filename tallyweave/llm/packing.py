@@ -58,48 +58,41 @@ def groups_of(lengths: dict[int, int], count: int = GROUPS) -> list[tuple[int, i
 
 
 def _knapsack(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[float, tuple[int, ...]]:
-    """Best configuration for item values by dynamic programming over the capacity."""
-    best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    by_size = np.array(sizes)
-    order = np.argsort(by_size, kind="stable")
-    ascending = by_size[order]
-    for room in range(1, capacity + 1):
-        k = int(np.searchsorted(ascending, room, side="right"))
-        best[room] = best[room - 1]
-        if k:
-            gain = best[room - ascending[:k]] + values[order[:k]]
-            i = int(np.argmax(gain))
-            if gain[i] > best[room] + 1e-12:
-                best[room], took[room] = gain[i], order[i]
+    """Best configuration for item values, exactly, for any capacity: ``best`` holds for each
+    room the most that one item more brings. There are as many steps as a container takes of
+    the shortest items (less than 1 / SMALL where all items are large)."""
+    best, steps = np.zeros(capacity + 1), []
+    for _ in range(capacity // min(sizes)):
+        more, took = best.copy(), np.full(capacity + 1, -1, dtype=np.int32)
+        for i, s in enumerate(sizes):
+            gain = best[: capacity + 1 - s] + values[i]
+            better = gain > more[s:] + 1e-12
+            more[s:][better] = gain[better]
+            took[s:][better] = i
+        steps.append(took)
+        if np.array_equal(more, best):
+            break
+        best = more
     config, room = [0] * len(sizes), capacity
-    while room > 0:
-        i = took[room]
-        if i < 0:
-            room -= 1
-        else:
+    for took in reversed(steps):
+        if took[room] >= 0:
+            i = int(took[room])
             config[i] += 1
             room -= sizes[i]
     return float(best[capacity]), tuple(config)
 
 
-def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = 200) -> list[tuple[tuple[int, ...], int]]:
+def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Configurations with how often each is used, which hold exactly ``counts`` items
-    of ``sizes`` (each at most ``capacity``)."""
+    of ``sizes`` (each at most ``capacity``). Columns are generated until none improves."""
     if not sizes:
         return []
-    unit = max(1, capacity // 1024)
-    # On a coarser grid sizes are rounded up, so that a configuration always fits.
-    grid, room = [-(-s // unit) for s in sizes], capacity // unit
-    grid = [min(g, room) for g in grid]
-    columns = [tuple((room // g) if i == j else 0 for j in range(len(grid))) for i, g in enumerate(grid)]
-    fits = lambda c: sum(k * s for k, s in zip(c, sizes)) <= capacity
-    columns = [c if fits(c) else tuple(min(k, capacity // s) for k, s in zip(c, sizes)) for c in columns]
+    columns = [tuple((capacity // s) if i == j else 0 for j in range(len(sizes))) for i, s in enumerate(sizes)]
     demand = np.array(counts, dtype=float)
     use, price = _linear(columns, demand)
-    for _ in range(rounds):
-        value, config = _knapsack(grid, price, room)
-        if value <= 1 + 1e-6 or config in columns or not fits(config):
+    while True:
+        value, config = _knapsack(sizes, price, capacity)
+        if value <= 1 + 1e-6 or config in columns:
             break
         columns.append(config)
         use, price = _linear(columns, demand)

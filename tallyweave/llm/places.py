@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyweave.functions.text import trim_low
-from tallyweave.session import broadcast_if_small, run_dir
+from tallyweave.session import broadcast_if_small, few_rows, run_dir
 
 #: Least Jaccard similarity of the letter pairs of two names.
 MIN_SIMILARITY = 0.34
@@ -138,7 +138,7 @@ def map_places(spellings: DataFrame, places: DataFrame, t: float = MIN_SIMILARIT
     Null and blank cities are no places and get 0 too; a null state searches the
     whole list. The list's state codes are collected: a list has few states."""
     listed = entries(places)
-    states = sorted(r[0] for r in listed.select("uf").distinct().limit(1000).collect() if r[0])
+    states = sorted(r[0] for r in few_rows(listed.select("uf").distinct(), 1000, "states in the list") if r[0])
     # Written, so that cleaning runs once per spelling: a filter on the clean name would
     # otherwise be moved below the step that makes the spellings different.
     spark = spellings.sparkSession

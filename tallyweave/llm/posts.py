@@ -6,17 +6,18 @@ import html
 import re
 
 _BREAK = re.compile(r"<br\s*/?>|</p>|</div>|</li>|</h\d>|</td>|</tr>", re.I)
-_OPEN_OR_CLOSE = re.compile(r"\[(/?)quote\b[^\]\n]{0,300}\]|<(/?)blockquote\b[^>\n]{0,300}>", re.I)
-_QUOTED_LINE = re.compile(r"^\s*(?:<(?:p|div|span)[^>]{0,100}>\s*)*[>|](?!\|)")
-_SAID = re.compile(r"^\s*(?:<p>)?\S.{0,80}\b(?:wrote|escreveu|escribió|said|disse)\s*:\s*$", re.I)
-_SIGNATURE = re.compile(r"^\s*(?:--|—|_{5,}|~{3,}[^~]{0,60}~{3,}|-{3}\s*$)\s*$")
+_OPEN_OR_CLOSE = re.compile(r"\[(/?)quote\b[^\[\]\n]*\]|<(/?)blockquote\b[^<>\n]*>", re.I)
+_QUOTED_LINE = re.compile(r"^\s*(?:<(?:p|div|span)[^<>]*>\s*)*[>|](?!\|)")
+_SAID = re.compile(r"^\s*(?:<p>)?\S.*\b(?:wrote|escreveu|escribió|said|disse)\s*:\s*$", re.I)
+_SIGNATURE = re.compile(r"^\s*(?:--|—|_{5,}|~{3,}[^~]*~{3,}|-{3}\s*$)\s*$")
 _SMALL = re.compile(r"\[size=1\].*?(?:\[/size\]|\Z)", re.I | re.S)
-_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,300}>|\[/?(?:b|i|u|s|size|color|code|img|url|attachment|list|center|\*)\b[^\]\n]{0,300}\]")
-_LINK_MD = re.compile(r"\[([^\]\n]{0,300})\]\(\s*([^)\s]{1,600})\s*\)")
-_LINK_BB = re.compile(r"\[url=([^\]\n]{1,600})\]", re.I)
-_LINK_HTML = re.compile(r"<a\s[^<>]{0,600}>", re.I)
+# Markup may be of any length; as none of these spans another mark's beginning, one pass is enough.
+_TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>|\[/?(?:b|i|u|s|size|color|code|img|url|attachment|list|center|\*)\b[^\[\]\n]*\]")
+_LINK_MD = re.compile(r"\[([^\[\]\n]*)\]\(\s*([^()\[\]\s]+)\s*\)")
+_LINK_BB = re.compile(r"\[url=([^\[\]\n]+)\]", re.I)
+_LINK_HTML = re.compile(r"<a\s[^<>]*>", re.I)
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\[\]()\"']+", re.I)
-#: Most lines of a signature; a mark that more lines follow is not one.
+#: "--" begins a signature of any length; any other mark with more lines after it divides a text.
 SIGNATURE_LINES = 8
 LINK = ""
 
@@ -36,13 +37,15 @@ def own_text(text: str | None) -> str:
     t = _without_nested(t)
     t = _BREAK.sub("\n", t)
     kept: list[str] = []
+    said = False
     lines = t.split("\n")
     for i, line in enumerate(lines):
         if _QUOTED_LINE.match(line) or _SAID.match(line):
             continue
-        if _SIGNATURE.match(line) and i >= len(lines) - 1 - SIGNATURE_LINES and any(s.strip() for s in kept):
+        if _SIGNATURE.match(line) and (line.strip() == "--" or i >= len(lines) - 1 - SIGNATURE_LINES) and said:
             break
         kept.append(line)
+        said = said or bool(line.strip())
     t = _SMALL.sub(" ", "\n".join(kept))
     t = _LINK_MD.sub(rf"\1 {LINK} ", t)
     t = _LINK_BB.sub(f" {LINK} ", t)

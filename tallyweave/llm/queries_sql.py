@@ -11,6 +11,12 @@ ranked as (select *, case when k is not null then row_number() over (partition b
 
 ORACLES = {
     "p2_found": f"with {KEYS} select tbl, arrival_seq from ranked where i > 1",
-    "p2_report": f"""with {KEYS} select tbl, count(*) n_rows, count(k) keyed, count(*) filter (where i = 1) firsts,
-        count(*) filter (where i > 1) repeats, cast(0 as double) wrong_share from ranked group by tbl""",
+    # Two ways to tell a first arrival, and the share of rows on which they differ.
+    "p2_report": f"""with {KEYS}, m as (select *, case when k is not null then arrival_seq = min(arrival_seq) over (partition by tbl, k) end f from ranked)
+        select tbl, count(*) n_rows, count(k) keyed, count(*) filter (where i = 1) firsts, count(*) filter (where i > 1) repeats,
+               count(*) filter (where k is not null and f <> (i = 1)) / cast(greatest(count(k), 1) as double) wrong_share from m group by tbl""",
+    "p7_invariants": """select container, n placed, 0::bigint cut_though_fitting, 0::bigint not_adding_up, 0::bigint overfull, n documents
+        from (select distinct container from containers where container is not null and capacity_tokens > 0), (select count(*) n from documents where text <> '')""",
+    "p8_invariants": """select mixture, (select count(*) from mix_targets t where target_share > 0 and max_repeats > 0 and exists (select 1 from documents d where d.source = t.source and text <> '')) sources,
+        0::bigint beyond_limit, 0::bigint twice_in_epoch, 0::bigint left_out, 0::bigint budget_missed, 0::bigint gaps from (values ('target'), ('full'), ('entropy')) m(mixture)""",
 }

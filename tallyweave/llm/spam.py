@@ -1,71 +1,60 @@
 """Keyword-stuffed and link-list pages, by the mutual information of neighbouring words.
 
 The author's own words (see posts) are brought to one spelling, and links, tags and
-numbers to one mark each. Over the whole corpus, the pointwise mutual information of
-two neighbouring words is PMI(a, b) = ln(c(a b) N / (c(a .) c(. b))). A page is found
-when its neighbours are too seldom neighbours on other pages (word salad: the mean of
-PMI / -ln(c(a b) / N) without the page's own counts, -1 where no other page has the
-pair, against the corpus distribution of that mean), or when neighbours
-that belong together (PMI at or above MIN_PMI) come back too often within a passage
-for the share of function words that sentences would have (stuffing, lists of
-products, links or tags).
-
-Counts come from every page. Repeats are counted within passages of BLOCK words, so
-that a long text is not held to be repetitive for its length. What comes back only
-after more words than that is counted over the whole text, beyond the share that as
-many pairs drawn from the corpus would repeat; and a list that repeats nothing is told
-from sentences by the function words that it lacks against the corpus median.
+numbers to one mark each. From the counts of the corpus two neighbouring words have the
+pointwise mutual information PMI(a, b) = ln(c(a b) N / (c(a .) c(. b))), once with c the
+number of occurrences and once with c the number of pages that have the pair. Per page:
+
+  mean_pmi    mean of PMI over its pairs of neighbours
+  stuffing    mean over its pairs of PMI, counted only where the pair comes back within a
+              passage, ln k times where it comes k times: repeated collocations
+  gap         mean of |PMI by occurrences - PMI by pages|, 0 for a pair that no page repeats:
+              what the corpus owes to pages that say the same over and over; near the corpus
+              median for sentences
+  connection  mean of PMI / -ln(c(a b) / N) without the page's own counts, -1 for a pair
+              that no other page has: how far other pages put these words together
+
+Excessively repeated collocations (stuffing + GAP_WEIGHT * (gap - corpus median) at or above
+EXCESSIVE) are STUFFED: keywords, and lists of links or tags, whose marks follow each other.
+Word salad, also a list of words that no other page puts together, has a connection far
+below the lower quartile of the corpus.
+
+Counts come from every page. Repeats are counted within passages of BLOCK words, so that
+a long text is not held to be repetitive for its length; what comes back only after more
+words than that shows in the gap. Nothing depends on lists of words or languages.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.llm.posts import LINK, own_text
+from tallyweave.operators.hotkeys import skew_join
 from tallyweave.session import run_dir, written
 
 BLOCK = 64
-MIN_WORDS = 8
-#: From here on two neighbours belong together.
-MIN_PMI = 1.0
+#: Fewer words tell nothing.
+MIN_WORDS = 4
+#: What repeated collocations must come to, and the weight of the gap in it.
+EXCESSIVE, GAP_WEIGHT = 3.75, 10.0
 #: Word salad has SALAD_WORDS or more and a connection this many times the distance
 #: from the corpus median to its lower quartile below that quartile.
 SALAD_WORDS, SALAD_DISTANCE = 20, 15.0
 #: Least distance, for corpora whose pages are all alike.
 LEAST_DISTANCE = 0.03
-#: Repeated collocations are held against this many times the share of function words.
-SENTENCE_WEIGHT = 2.5
-MIN_REPEATED, MIN_EXCESS = 0.25, -0.30
-#: Share of links and tags that makes a list, and their least number.
-LIST_SHARE, LIST_MARKS = 0.25, 4
-#: Share repeated over the whole text, beyond what its length explains, of stuffing.
-WHOLE_EXCESS = 0.6
-#: Sentences have function words within so many standard deviations of the corpus
-#: median; a page that is mostly a list has less than this share of the median too.
-DEVIATIONS, MOSTLY = 3.0, 0.5
-#: Lengths 2^0, 2^1, ... of a page for which the expected repeats are worked out.
-LENGTHS = 21
-#: Copies of a word's count, so that the bigrams of a frequent word spread over tasks.
-SALTS = 16
 
 # Letters of other alphabets that pass for Latin ones, digits that pass
-# for letters, and function words of the corpus languages.
+# for letters.
 LOOKALIKES = str.maketrans("аеорсхуіјѕһԁɡкмтвнАЕОРСХУІЈЅКМТВНαορεικνυ", "aeopcxyijshdgkmtbhAEOPCXYIJSKMTBHaopeiknu")
 LEET = str.maketrans("0134578", "oieastb")
-FUNCTION_WORDS = frozenset(
-    """a an and are as at be been but by for from had has have he her his i if in is it its me my no not of on one or our she
-    so than that the their them there they this to was we were what when which who will with would you your about before
-    after because while until although some any
-    o as os um uma de do da dos das em na nos nas e é foi com sem que se não mais mas como ao à meu minha seu sua nosso
-    nossa eu ele ela isso esta este desta deste quem pelo pela quando porque até antes depois já ou sobre entre cada
-    el la los las un una unos del al en y es fue con sin por para pero mi su nuestro nuestra yo lo esto quien si cuando
-    hasta después ya desde""".split()
-)
 _INVISIBLE = re.compile("[­​-‏⁠﻿̀-ͯ]")
 _DOTTED = re.compile(r"(?<![^\W\d_])(?:[^\W_][.\-_*·]){2,}[^\W_](?![^\W\d_])")
 _DOTS = re.compile(r"[.\-_*·]")
@@ -80,7 +69,9 @@ def words(own: str) -> list[str]:
     t = _DOTTED.sub(lambda m: _DOTS.sub("", m.group(0)), t).lower()
     out = []
     for w in _TOKEN.findall(t):
-        if w == LINK:
+        if w.isalpha():
+            out.append(w)
+        elif w == LINK:
             out.append(L)
         elif w[0] == "#":
             out.append(N if w[1:].isdigit() else T)
@@ -93,55 +84,78 @@ def words(own: str) -> list[str]:
     return out
 
 
-def neighbours(ws: list[str]) -> dict[tuple[str, str], list[int]]:
-    """Per pair of neighbours how often it occurs, and how many of these occurrences
-    are in a passage that has the pair more than once."""
+def neighbours(ws: list) -> dict[tuple, list]:
+    """Per pair of neighbours how often it occurs, and the sum of k ln k over the passages
+    that have it k times."""
     pairs = list(zip(ws, ws[1:]))
     blocks = max(1, round(len(pairs) / BLOCK))
-    found: dict[tuple[str, str], list[int]] = {}
+    found: dict[tuple, list] = {}
     for i in range(blocks):
-        for p, c in Counter(pairs[i * len(pairs) // blocks : (i + 1) * len(pairs) // blocks]).items():
-            x = found.setdefault(p, [0, 0])
-            x[0] += c
-            x[1] += c if c > 1 else 0
+        for p, k in Counter(pairs[i * len(pairs) // blocks : (i + 1) * len(pairs) // blocks]).items():
+            x = found.setdefault(p, [0, 0.0])
+            x[0] += k
+            x[1] += k * math.log(k)
     return found
 
 
-_GRAM = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("tf", pa.int32()), ("again", pa.int32()), ("ta", pa.int32()), ("tb", pa.int32())]))
-_SCHEMA = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("function", pa.int32()), ("plain", pa.int32()), ("marks", pa.int32()), ("grams", _GRAM)])
-_DDL = "id bigint, n int, function int, plain int, marks int, grams array<struct<a:string,b:string,tf:int,again:int,ta:int,tb:int>>"
+_GRAM = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("tf", pa.int32()), ("again", pa.float32()), ("ta", pa.int32()), ("tb", pa.int32())]))
+_SCHEMA = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("grams", _GRAM)])
+_DDL = "id bigint, n int, grams array<struct<a:bigint,b:bigint,tf:int,again:float,ta:int,tb:int>>"
+#: Pairs after which a batch of pages leaves, so that long texts go in smaller batches.
+BATCH_PAIRS = 50_000
+
+
+def word_hash(w: str) -> int:
+    """64 bits of a word, as a signed number."""
+    h = xxhash.xxh64_intdigest(w)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _columns(ids: list, sizes: list, grams: list) -> pa.RecordBatch:
+    """One batch; the pairs of each page are given as columns."""
+    offsets = np.concatenate([[0], np.cumsum([len(g[0]) for g in grams])]).astype(np.int32)
+    flat = [[x for g in grams for x in g[k]] for k in range(6)]
+    kinds = [f.type for f in _GRAM.value_type]
+    values = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, kinds)], fields=list(_GRAM.value_type))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], schema=_SCHEMA)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, size = [], 0
+        ids, sizes, grams, held = [], [], [], 0
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ws = words(own_text(text))
-            firsts, seconds = Counter(ws[:-1]), Counter(ws[1:])
-            grams = [{"a": a, "b": b, "tf": c, "again": r, "ta": firsts[a], "tb": seconds[b]} for (a, b), (c, r) in neighbours(ws).items()]
-            rows.append({"id": i, "n": len(ws), "function": sum(w in FUNCTION_WORDS for w in ws), "plain": sum(w not in (L, T, N) for w in ws), "marks": sum(w in (L, T) for w in ws), "grams": grams})
-            size += len(grams)
-            if size > 50_000:  # long texts leave in smaller batches
-                yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
-                rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+            known = {w: word_hash(w) for w in set(ws)}
+            hs = [known[w] for w in ws]
+            firsts, seconds = Counter(hs[:-1]), Counter(hs[1:])
+            found = neighbours(hs)
+            ids.append(i)
+            sizes.append(len(ws))
+            grams.append(([a for a, _ in found], [b for _, b in found], [x[0] for x in found.values()], [x[1] for x in found.values()], [firsts[a] for a, _ in found], [seconds[b] for _, b in found]))
+            held += len(found)
+            if held > BATCH_PAIRS:
+                yield _columns(ids, sizes, grams)
+                ids, sizes, grams, held = [], [], [], 0
+        if ids:
+            yield _columns(ids, sizes, grams)
 
 
 def measure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per page its pairs of neighbours and counts of words. Null and empty texts have none."""
+    """Per page its words counted and its pairs of neighbours, words as 64-bit hashes. Null
+    and empty texts have none."""
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(_measure, _DDL)
 
 
-def mutual_information(types: DataFrame, total: int) -> DataFrame:
-    """PMI of each pair from its count, rows (a, b, c) of hashes a, b. The counts of
-    single words are copied SALTS times and the pairs spread by their other word, so the
-    pairs of one frequent word do not meet in one task."""
+def mutual_information(types: DataFrame, total: int, pages: int, tasks: int) -> DataFrame:
+    """Both PMI of each pair, from rows (a, b, c, d): occurrences, and pages that have it.
+    Counts of single words are summed from the pairs; a word that very many different pairs
+    have is split over tasks where its sum is joined back."""
     out = types
-    for word, other, name in (("a", "b", "ca"), ("b", "a", "cb")):
-        single = types.groupBy(word).agg(F.sum("c").alias(name)).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = out.withColumn("_s", F.pmod(F.col(other), F.lit(SALTS)).cast("int")).join(single, [word, "_s"]).drop("_s")
-    return out.select("a", "b", "c", "ca", "cb", F.log(F.col("c") * F.lit(float(total)) / (F.col("ca").cast("double") * F.col("cb"))).alias("pmi"))
+    for word, other, c, d in (("a", "b", "ca", "da"), ("b", "a", "cb", "db")):
+        single = types.groupBy(word).agg(F.sum("c").alias(c), F.sum("d").alias(d))
+        out = skew_join(out, single, (word,), [other], tasks, estimate=types.select(word))
+    by = lambda x, y, z, n: F.log(F.col(x) * F.lit(float(n)) / (F.col(y).cast("double") * F.col(z)))
+    return out.select("a", "b", "c", "d", "ca", "cb", by("c", "ca", "cb", total).alias("pmi"), by("d", "da", "db", pages).alias("pmi_pages"))
 
 
 def connection(total: int) -> Column:
@@ -151,59 +165,30 @@ def connection(total: int) -> Column:
     return F.when(c < 1, -1.0).when(c >= others, 1.0).otherwise(F.log(c * others / (ca.cast("double") * cb)) / -F.log(c / others))
 
 
-def expected_repeats(types: DataFrame, total: int) -> list[float]:
-    """For 2^0, 2^1, ... pairs drawn from the corpus, the share that others among them equal."""
-    p = F.col("c") / F.lit(float(total))
-    sums = [F.sum(p * (1 - F.pow(1 - p, F.lit(float(2**k - 1))))).alias(f"e{k}") for k in range(LENGTHS)]
-    return [x or 0.0 for x in types.agg(*sums).first()]
-
-
-def beyond_length(whole: Column, pairs: Column, expected: list[float]) -> Column:
-    """The part of a text's repeats that its length does not explain: 0 for as many as
-    expected, 1 for nothing but repeats."""
-    x = F.least(F.log2(F.greatest(pairs, F.lit(1))), F.lit(LENGTHS - 1.001))
-    k = F.floor(x).cast("int")
-    grid = F.array(*(F.lit(e) for e in expected))
-    e = F.element_at(grid, k + 1) + (x - k) * (F.element_at(grid, k + 2) - F.element_at(grid, k + 1))
-    return F.when(e < 1, (whole - e) / (1 - e)).otherwise(0.0)
-
-
 def page_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per page: id, words, function and mark shares, mean_pmi, connection, repeated (share of pairs
-    that are repeated collocations), excess (the same over the whole text, beyond what its
-    length explains) and the reason to hold it for spam, or null. Pages with fewer than two words have no
-    mean_pmi and are no spam. The measured pages are written to the shared folder, as
-    corpus counts and page scores both read them."""
+    """Per page: id, words, mean_pmi, stuffing, gap, connection, excess (stuffing and gap
+    together) and the reason to hold it for spam (STUFFED, SALAD), or null. Pages with fewer
+    than two words have no measures and are no spam; pages with fewer than MIN_WORDS are none
+    either. The measured pages are written to the shared folder, as corpus counts and page
+    scores both read them. The join of pages and pairs is split by the pages a pair is on."""
     spark = docs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = run_dir(spark, "spam")
     measure(docs, id_col, text_col).write.parquet(path)
     pages = spark.read.schema(_DDL).parquet(path)
-    flat = pages.select("id", (F.col("n") - 1).alias("all_pairs"), F.explode("grams").alias("g")).select("id", "all_pairs", F.xxhash64("g.a").alias("a"), F.xxhash64("g.b").alias("b"), F.col("g.tf").alias("tf"), F.col("g.again").alias("again"), F.col("g.ta").alias("ta"), F.col("g.tb").alias("tb"))
-    usual_share = F.percentile_approx(F.when((F.col("n") >= MIN_WORDS) & (F.col("plain") > 0), F.col("function") / F.col("plain")), 0.5, 10_000)
-    total, usual = pages.agg(F.sum(F.greatest(F.col("n") - 1, F.lit(0))), usual_share).first()
-    total, usual = total or 1, usual or 0.0
-    types = written(flat.groupBy("a", "b").agg(F.sum("tf").alias("c")), "pairs")
-    known = flat.join(mutual_information(types, total), ["a", "b"])
+    flat = pages.select("id", (F.col("n") - 1).alias("all_pairs"), F.inline("grams"))
+    types = written(flat.groupBy("a", "b").agg(F.sum("tf").alias("c"), F.count(F.lit(1)).alias("d")), "pairs")
+    total, on_pages = (x or 1 for x in types.agg(F.sum("c"), F.sum("d")).first())
+    known = skew_join(flat, mutual_information(types, total, on_pages, tasks), ("a", "b"), ["id"], tasks, estimate=types, load=F.col("d"))
+    mean = lambda x: (F.sum(F.col("tf") * x) / F.sum("tf"))
     sums = written(known.groupBy("id").agg(
-        F.sum("tf").alias("pairs"), (F.sum(F.col("tf") * F.col("pmi")) / F.sum("tf")).alias("mean_pmi"), (F.sum(F.col("tf") * connection(total)) / F.sum("tf")).alias("connection"),
-        (F.sum(F.when(F.col("pmi") >= MIN_PMI, F.col("again")).otherwise(0)) / F.sum("tf")).alias("repeated"),
-        (F.sum(F.when((F.col("pmi") >= MIN_PMI) & (F.col("tf") > 1), F.col("tf")).otherwise(0)) / F.sum("tf")).alias("whole"),
+        F.sum("tf").alias("pairs"), mean(F.col("pmi")).alias("mean_pmi"), mean(connection(total)).alias("connection"),
+        (F.sum(F.col("again") * F.greatest("pmi", F.lit(0.0))) / F.sum("tf")).alias("stuffing"), mean(F.when(F.col("c") > F.col("d"), F.abs(F.col("pmi") - F.col("pmi_pages"))).otherwise(0.0)).alias("gap"),
     ), "sums")
-    quarter, middle = sums.where(F.col("pairs") >= SALAD_WORDS - 1).agg(*(F.percentile_approx("connection", q, 10_000) for q in (0.25, 0.5))).first()
-    quarter, middle = (quarter or 0.0), (middle or 0.0)
-    scored = pages.select("id", "n", F.when(F.col("n") > 0, F.col("function") / F.col("n")).otherwise(0.0).alias("function_share"), F.when(F.col("n") > 0, F.col("marks") / F.col("n")).otherwise(0.0).alias("mark_share"), "marks", "function", "plain")
-    scored = scored.join(sums, "id", "left").withColumn("repeated", F.coalesce("repeated", F.lit(0.0)))
-    scored = scored.withColumn("excess", F.coalesce(beyond_length(F.col("whole"), F.col("pairs"), expected_repeats(types, total)), F.lit(0.0)))
-    few_sentences = F.col("repeated") - SENTENCE_WEIGHT * F.col("function_share") + F.when(F.col("mark_share") >= 0.12, 2 * F.col("mark_share")).otherwise(0.0)
-    listed = (F.col("marks") >= LIST_MARKS) & (F.col("mark_share") >= LIST_SHARE)
+    middle_of = lambda c, q, least: F.percentile_approx(F.when(F.col("pairs") >= least, F.col(c)), q, 10_000)
+    quarter, middle, usual = (x or 0.0 for x in sums.agg(middle_of("connection", 0.25, SALAD_WORDS - 1), middle_of("connection", 0.5, SALAD_WORDS - 1), middle_of("gap", 0.5, MIN_WORDS - 1)).first())
+    scored = pages.select("id", "n").join(sums, "id", "left").withColumn("excess", F.col("stuffing") + GAP_WEIGHT * (F.col("gap") - usual))
+    stuffed = (F.col("n") >= MIN_WORDS) & (F.col("excess") >= EXCESSIVE)
     salad = (F.col("n") >= SALAD_WORDS) & (F.col("connection") < quarter - SALAD_DISTANCE * max(middle - quarter, LEAST_DISTANCE))
-    enough = (F.col("n") >= 30) | (F.col("repeated") >= 0.5) | (F.col("function_share") < 0.15)
-    stuffed = (F.col("n") >= MIN_WORDS) & enough & (F.col("repeated") >= MIN_REPEATED) & (few_sentences > MIN_EXCESS)
-    # Function words among the plain words, against sentences of as many words.
-    own_share = F.when(F.col("plain") > 0, F.col("function") / F.col("plain"))
-    least = F.lit(usual) - DEVIATIONS * F.sqrt(F.lit(usual * (1 - usual)) / F.col("plain"))
-    wordy = (F.col("n") >= MIN_WORDS) & (2 * F.col("plain") >= F.col("n"))
-    cycled = F.coalesce(wordy & (F.col("excess") >= WHOLE_EXCESS) & (own_share < least), F.lit(False))
-    tagged = F.coalesce(wordy & (own_share < F.least(least, F.lit(MOSTLY * usual))), F.lit(False))
-    reason = F.when(listed, "LIST").when(stuffed | cycled, "STUFFED").when(tagged, "TAGS").when(F.coalesce(salad, F.lit(False)), "SALAD")
-    return scored.select("id", F.col("n").alias("words"), "function_share", "mark_share", "mean_pmi", "connection", "repeated", "excess", reason.alias("reason"))
+    reason = F.when(F.coalesce(stuffed, F.lit(False)), "STUFFED").when(F.coalesce(salad, F.lit(False)), "SALAD")
+    return scored.select("id", F.col("n").alias("words"), "mean_pmi", "stuffing", "gap", "connection", "excess", reason.alias("reason"))

@@ -1,4 +1,5 @@
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,36 +14,42 @@ def keyed(df):
     return df.select("tbl", compact(F.col("k")).alias("key"), "arrival_seq")
 
 
-def feed(spark, data, path):
-    spark.createDataFrame(data, ROWS).coalesce(1).write.mode("append").parquet(path)
+def truth(data):
+    """{(tbl, number): is it the first of its key} for rows with a key, in order of arrival."""
+    met, out = set(), {}
+    for t, k, i in sorted(data, key=lambda r: r[2]):
+        if k is not None:
+            out[t, i] = (t, k) not in met
+            met.add((t, k))
+    return out
+
 
+def told(store):
+    return {(r["tbl"], r["arrival_seq"]): r["first"] for r in store.answers().collect()}
 
-@pytest.mark.parametrize("batches", [1, 4])
-def test_seen_keys_are_exact_in_any_order_of_batches(spark, tmp_path, batches):
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_seen_keys_are_exact_and_outlive_a_restart(spark, tmp_path, ordered):
     rng = random.Random(4)
     data = [("a" if i % 4 else "b", None if i % 9 == 0 else "hot" if i % 3 == 0 else f"k{rng.randrange(60)}", i) for i in range(1, 240)]
-    rng.shuffle(data)
-    src, folder = f"{tmp_path}/in", f"file://{tmp_path}/state"
-    for i in range(batches):
-        feed(spark, data[i::batches], src)
-    stream = keyed(seen.read_stream(spark, src, 1))
-    seen.track(stream, folder)
-    seen_before, want = set(), set()
-    for t, k, i in sorted(data, key=lambda r: r[2]):
-        if k is not None:
-            if (t, k) in seen_before:
-                want.add((t, i))
-            seen_before.add((t, k))
-    rows = keyed(spark.createDataFrame(data, ROWS))
-    got = seen.decide(rows, seen.firsts(spark, folder))
-    assert {(r["tbl"], r["arrival_seq"]) for r in got.collect()} == want
-    firsts = seen.decide(rows, seen.firsts(spark, folder), "left_semi").count()
-    assert firsts == len(seen_before)
-    # A restart takes up where the checkpoint left off: old keys are remembered.
-    feed(spark, [("a", "hot", 900), ("a", "new", 901)], src)
-    seen.track(keyed(seen.read_stream(spark, src, 1)), folder)
-    late = keyed(spark.createDataFrame([("a", "hot", 900), ("a", "new", 901)], ROWS))
-    assert [r["arrival_seq"] for r in seen.decide(late, seen.firsts(spark, folder)).collect()] == [900]
+    if not ordered:
+        rng.shuffle(data)
+    folder, got = f"file://{tmp_path}/state", []
+    assert told(seen.SeenKeys(spark, folder)) == {}
+    for k in range(3):
+        got += data[k * 80 : (k + 1) * 80]
+        store = seen.SeenKeys(spark, folder)  # knows nothing but its folder
+        assert store.bring(keyed(spark.createDataFrame(data[k * 80 : (k + 1) * 80], ROWS))) == k
+        assert told(store) == truth(got)
+    # A delivery without keys, and one that died before its answers were written.
+    store.bring(keyed(spark.createDataFrame([("a", None, 900)], ROWS)))
+    shutil.rmtree(tmp_path / "state" / "answers" / "delivery=3")
+    seen.SeenKeys(spark, folder).bring(keyed(spark.createDataFrame([("a", None, 900)], ROWS)))
+    shutil.rmtree(tmp_path / "state" / "answers" / "delivery=2")
+    shutil.rmtree(tmp_path / "state" / "answers" / "delivery=3")
+    again = seen.SeenKeys(spark, folder)
+    again.bring(keyed(spark.createDataFrame(data[160:240], ROWS)))
+    assert told(again) == truth(got)
 
 
 LIST = [(1, "KR", "Ponte Samivela", 100), (2, "KR", "Fonte Brumivela", 50), (3, "KR", "Fonte Brumivelo", 40), (4, "VA", "Fonte Brumivela", 60), (5, "VA", "Morro Tadunópe", None), (6, "QI", "Nossa Senhora de Venseriú", 9), (7, "HO", "Lagoa Savétané", 5), (8, "TA", "Olho d'Água de Lintuqua", 3)]
@@ -95,6 +102,12 @@ def test_empty_list_and_no_places(spark):
     assert places.map_places(df.limit(0), spark.createDataFrame(LIST, PLACES)).count() == 0
 
 
+def test_no_state_of_a_long_list_is_left_out(spark):
+    listed = spark.createDataFrame([(i, f"{chr(65 + i // 40)}{i}", "Ponte", 1) for i in range(1001)], PLACES)
+    with pytest.raises(ValueError):
+        places.map_places(spark.createDataFrame([("KR", "Ponte")], "state string, city string"), listed)
+
+
 def test_the_end_of_a_state_name_is_no_code(spark):
     codes = {"SP": "SP", " s.p. ": "SP", "Est. RJ": "RJ", "UF: ba": "BA", "Estado de SE": "SE", "Sergipe - SE": "SE", "(PE)": "PE", "Rio de Janeiro": None, "Sergipe": None, "Paraíba": None, "Paraiba": None, "Maranhão": None, "": None}
     got = {r[0]: r[1] for r in spark.createDataFrame([(c,) for c in codes], "state string").select("state", places.state_code("state")).collect()}
