@@ -51,23 +51,24 @@ def link(previous: str, root: str, batch: str, leaves: int) -> str:
     return hashlib.sha256(b"\x02" + bytes.fromhex(previous) + bytes.fromhex(root) + f"{batch}|{leaves}".encode()).hexdigest()
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    previous, sequence = merkle.GENESIS, 0
-    for pdf in batches:
-        out = []
-        for w, n, r in zip(pdf["windowId"], pdf["leafCount"], pdf["root"]):
-            this = link(previous, r, w, int(n))
-            out.append((w, sequence, int(n), r, previous, this))
-            previous, sequence = this, sequence + 1
-        yield pd.DataFrame(out, columns=["windowId", "sequence", "leafCount", "root", "previousHash", "checkpointHash"]).astype({"sequence": "int32", "leafCount": "int64"})
-
-
-def chain(sealed: DataFrame) -> DataFrame:
-    """Checkpoints of windows (windowId, leafCount, root), in window order. Each hash
-    needs the one before, so one task walks the windows; it streams them (a row per
-    window, not per vote) and keeps only the last hash."""
+def chain(sealed: DataFrame, previous: str = merkle.GENESIS, sequence: int = 0) -> DataFrame:
+    """Checkpoints of windows (windowId, leafCount, root), in window order, onto the hash
+    ``previous``. Each hash needs the one before, so one task walks the windows; it streams
+    them (a row per window, not per vote: a year of 15 s windows is 2.1 million rows, 0.4 GB)
+    and keeps only the last hash."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, number = previous, sequence
+        for pdf in batches:
+            out = []
+            for w, n, r in zip(pdf["windowId"], pdf["leafCount"], pdf["root"]):
+                this = link(last, r, w, int(n))
+                out.append((w, number, int(n), r, last, this))
+                last, number = this, number + 1
+            yield pd.DataFrame(out, columns=["windowId", "sequence", "leafCount", "root", "previousHash", "checkpointHash"]).astype({"sequence": "int32", "leafCount": "int64"})
+
     ordered = sealed.select("windowId", "leafCount", "root").repartition(1).sortWithinPartitions("windowId")
-    return ordered.mapInPandas(_fold, RECORD)
+    return ordered.mapInPandas(fold, RECORD)
 
 
 def check_links(records: DataFrame) -> DataFrame:

@@ -22,7 +22,9 @@ ROOT = _struct(schemaVersion="int", windowId="str", sequence="int", leafCount="i
 PROOF = _struct(receipt="str", windowId="str", sequence="int", leafIndex="int", treeSize="int", root="str", previousHash="str", checkpointHash="str", sealedAt="ts", path="path", verification="str")
 
 #: Topic key of each event.
-KEYS = {"votes.cast": "voterId", "votes.rejected": "voterId", "votes.accepted": "receipt", "votes.windows": "windowId", "votes.control": "type", "votes.receipts": "receipt", "merkle.roots": "windowId", "results": "key"}
+KEYS = {"votes.cast": "voterId", "votes.rejected": "voterId", "votes.accepted": "receipt", "votes.windows": "windowId", "votes.control": "type", "votes.receipts": "receipt", "merkle.roots": "windowId"} | {f"results.by-{d}": "key" for d in ("candidate", "state", "city", "party")}
+#: The field that gives an event's record its time.
+TIMES = {"votes.cast": "castAt", "votes.rejected": "rejectedAt", "votes.accepted": "castAt", "votes.windows": "windowEnd", "votes.control": "at", "votes.receipts": "issuedAt", "merkle.roots": "sealedAt"} | {f"results.by-{d}": "updatedAt" for d in ("candidate", "state", "city", "party")}
 
 
 def decode(raw: DataFrame, schema: T.StructType, value: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -38,9 +40,10 @@ def decode(raw: DataFrame, schema: T.StructType, value: str = "value") -> tuple[
     return events, parsed.where(bad).drop("_e")
 
 
-def encode(events: DataFrame, schema: T.StructType, key: Column | str) -> DataFrame:
+def encode(events: DataFrame, schema: T.StructType, key: Column | str, at: Column | str | None = None) -> DataFrame:
     """Events as (key, value) with JSON values, fields in contract order and times in
-    ISO-8601. A null key stays null."""
+    ISO-8601, and with the record's ``timestamp`` where ``at`` says what it is. A null key
+    stays null."""
     fields = []
     for f in schema.fields:
         c = F.col(f.name)
@@ -49,7 +52,36 @@ def encode(events: DataFrame, schema: T.StructType, key: Column | str) -> DataFr
             c = F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(ms % 1000 != 0, F.date_format(c, ".SSS")).otherwise(""), F.lit("Z"))
         fields.append(c.alias(f.name))
     k = F.col(key) if isinstance(key, str) else key
-    return events.select(k.cast("string").alias("key"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+    time = [] if at is None else [(F.col(at) if isinstance(at, str) else at).alias("timestamp")]
+    return events.select(k.cast("string").alias("key"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"), *time)
+
+
+#: Schema of the events of each topic.
+SCHEMAS = {"votes.cast": VOTE_CAST, "votes.rejected": REJECTED, "votes.accepted": ACCEPTED, "votes.windows": WINDOW_MARKER, "votes.control": CONTROL, "votes.receipts": RECEIPT, "merkle.roots": ROOT} | {f"results.by-{d}": TALLY_UPDATE for d in ("candidate", "state", "city", "party")}
+
+
+class FileTopics:
+    """Topics as folders of JSON records, a sub-folder for each batch: a batch that is
+    repeated after a failure overwrites itself, so every record is there once."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def send(self, events: DataFrame, topic: str, number: int, name: str | None = None) -> None:
+        """``name`` is what the topic is called here, where the job's flags rename it."""
+        encode(events, SCHEMAS[topic], KEYS[topic], TIMES[topic]).write.mode("overwrite").json(f"{self.folder}/{name or topic}/batch={number}")
+
+
+class KafkaTopics:
+    """The same into Kafka, acknowledged by all replicas. Spark's sink delivers at least
+    once: readers take the last record of a key, or count different receipts."""
+
+    def __init__(self, servers: str):
+        self.servers = servers
+
+    def send(self, events: DataFrame, topic: str, number: int, name: str | None = None) -> None:
+        records = encode(events, SCHEMAS[topic], KEYS[topic], TIMES[topic])
+        records.write.format("kafka").option("kafka.bootstrap.servers", self.servers).option("kafka.acks", "all").option("topic", name or topic).save()
 
 
 def read_list(spark: SparkSession, path: str, schema: str) -> DataFrame:

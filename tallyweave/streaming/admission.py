@@ -16,29 +16,37 @@ from tallyweave.config import Schedule
 from tallyweave.operators.admission import screen
 
 DECISION = "arrival_seq bigint, electionId string, voterId string, candidateId string, voter string, candidate string, party string, region string, place string, receipt string, castAt timestamp, reason string, originalReceipt string"
+NAMES = [c.split()[0] for c in DECISION.split(", ")]
 
 
 class FirstVote(StatefulProcessor):
-    """Accepts a voter's first eligible vote and names it to all later ones."""
+    """Accepts a voter's first eligible vote and names it to all later ones. A voter's rows
+    of one micro-batch are held together, in Arrow chunks; the trigger's limit on files or
+    offsets bounds them. Nothing runs row by row."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._standing = handle.getValueState("standing", "receipt string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        votes = pd.concat(list(rows)).sort_values("arrival_seq")
+        chunks = list(rows)
         before = self._standing.get()
-        standing = before[0] if before else None
-        reasons, originals = [], []
-        for receipt, screened in zip(votes["receipt"], votes["screened"]):
-            reason = screened if isinstance(screened, str) else ("DUPLICATE_VOTE" if standing is not None else None)
-            reasons.append(reason)
-            originals.append(standing if reason is not None and reason != "INVALID_VOTE" else None)
-            if reason is None:
-                standing = receipt
-        if standing is not None and not before:
-            self._standing.update((standing,))
-        out = votes.drop(columns=["screened"])
-        yield out.assign(voter=key[0], reason=pd.Series(reasons, index=out.index, dtype=object), originalReceipt=pd.Series(originals, index=out.index, dtype=object))[[c.split()[0] for c in DECISION.split(", ")]]
+        first, standing = -1, before[0] if before else None
+        if before is None:
+            # The first eligible arrival over all chunks.
+            able = [(c.loc[c["screened"].isna(), "arrival_seq"].min(), c) for c in chunks if c["screened"].isna().any()]
+            if able:
+                first, chunk = min(able, key=lambda x: x[0])
+                standing = chunk.loc[chunk["screened"].isna() & (chunk["arrival_seq"] == first), "receipt"].iloc[0]
+                self._standing.update((standing,))
+            else:
+                first = None
+        for c in chunks:
+            # With a standing vote from before, every row is later than it.
+            later = c["arrival_seq"] > first if first is not None else pd.Series(False, index=c.index)
+            reason = c["screened"].astype(object).where(c["screened"].notna(), None)
+            reason = reason.mask(c["screened"].isna() & later, "DUPLICATE_VOTE")
+            original = pd.Series(None, index=c.index, dtype=object).mask(later & (c["screened"] != "INVALID_VOTE"), standing)
+            yield c.drop(columns=["screened"]).assign(voter=key[0], reason=reason, originalReceipt=original)[NAMES]
 
     def close(self) -> None:
         pass
@@ -48,8 +56,7 @@ def admit_stream(votes: DataFrame, election: str, schedule: Schedule = Schedule(
     """Decisions on a stream of votes. Votes without a valid voter are refused without
     state, so they do not meet in one group."""
     screened = screen(votes, election, schedule).select("arrival_seq", "electionId", "voterId", "candidateId", "voter", "candidate", "party", "region", "place", "receipt", "castAt", "screened")
-    names = [c.split()[0] for c in DECISION.split(", ")]
     stateless = F.col("screened").eqNullSafe("INVALID_VOTE")
-    refused = screened.where(stateless).withColumn("reason", F.col("screened")).withColumn("originalReceipt", F.lit(None).cast("string")).select(names)
+    refused = screened.where(stateless).withColumn("reason", F.col("screened")).withColumn("originalReceipt", F.lit(None).cast("string")).select(NAMES)
     decided = screened.where(~stateless).groupBy("voter").transformWithStateInPandas(FirstVote(), DECISION, "Append", "None")
-    return decided.select(names).unionByName(refused)
+    return decided.select(NAMES).unionByName(refused)
