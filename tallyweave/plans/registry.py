@@ -7,8 +7,9 @@ from functools import wraps
 from tallyweave.plans import stream_quality, stream_quality_sql, stream_queries, tally_queries, tally_sql
 
 QUERIES = tally_queries.QUERIES | stream_queries.QUERIES | stream_quality.QUERIES
-# The stream has to decide as the batch form does.
-ORACLES = tally_sql.ORACLES | stream_quality_sql.ORACLES | {"stream_admission": tally_sql.ORACLES["admission_decisions"]}
+ORACLES = tally_sql.ORACLES | stream_quality_sql.ORACLES
+# Streams have to decide as the batch forms do.
+ORACLES |= {"stream_admission": ORACLES["admission_decisions"], "stream_chain": ORACLES["chain"], "stream_p1_counts": ORACLES["p1_window_counts"]}
 FLAGSHIP = "tally_all_dimensions"
 
 #: Settings that a query needs of the session it is given.

@@ -87,14 +87,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("tbl", "arrival_seq")
 
 
-def _shifted(counts: DataFrame) -> DataFrame:
+def shifted(counts: DataFrame) -> DataFrame:
     shift = F.make_dt_interval(secs=(F.col("phase") / 1000).cast("decimal(18,6)"))
     return counts.select("tbl", *((F.col(c) + shift).alias(c) for c in ("window_start", "window_end", "emitted_at")), "revision", "delta", "n")
 
 
 def p1_window_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts per window as of the close (revision 0) and after each correction."""
-    return _shifted(paned(spark, d)[1].counts())
+    return shifted(paned(spark, d)[1].counts())
 
 
 def p1_lateness_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.plans.tally_queries import ELECTION, SCHEDULE
+from tallyweave.operators.ledger import Ledger
+from tallyweave.operators.panes import PaneStore
+from tallyweave.plans import stream_quality, tally_queries
+from tallyweave.plans.tally_queries import ELECTION, SCHEDULE, WINDOW_MS
 from tallyweave.session import SETTINGS, run_dir
+from tallyweave.sources.tables import table
+from tallyweave.streaming import panes, pipeline
 from tallyweave.streaming.admission import admit_stream
 
+#: Slices of arrival in which a table is fed to a stream, with a restart after each.
+SLICES = 2
+
 
 @contextmanager
 def rocksdb(spark: SparkSession):
@@ -42,4 +50,44 @@ def stream_admission(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{folder}/decisions").select("arrival_seq", "voter", "reason", "originalReceipt")
 
 
-QUERIES = {"stream_admission": stream_admission}
+def job_ledger(spark: SparkSession, d: str) -> Ledger:
+    """The ledger after the job has been fed vote_cast slice by slice and the control events
+    last, and was stopped and started again after each."""
+    folder = run_dir(spark, "job")
+    votes = table(spark, d, "vote_cast")
+    low, high = (x or 0 for x in votes.agg(F.min("arrival_seq"), F.max("arrival_seq")).first())
+    control = tally_queries.control(spark)
+    control.limit(0).write.parquet(f"{folder}/in/control")
+    for k in range(SLICES + 1):
+        if k < SLICES:
+            cut = F.floor((F.col("arrival_seq") - low) * SLICES / (high - low + 1)) == k
+            votes.where(cut).write.mode("append").parquet(f"{folder}/in/votes")
+        else:
+            control.write.mode("append").parquet(f"{folder}/in/control")
+        source = lambda name, like: spark.readStream.schema(like.schema).parquet(f"{folder}/in/{name}")
+        with rocksdb(spark):
+            pipeline.run_to_end(
+                lambda: pipeline.decisions_query(source("votes", votes), source("control", control), folder, ELECTION, SCHEDULE),
+                lambda: pipeline.ledger_query(spark, folder, WINDOW_MS),
+            )
+    return Ledger(spark, f"{folder}/ledger")
+
+
+def stream_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Checkpoints as the job seals them, window after window."""
+    return job_ledger(spark, d).records().drop("sealedAt")
+
+
+def stream_p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """p1_window_counts by a stream whose files come latest arrivals first."""
+    rows = stream_quality.arrival_steps(spark, d)
+    folder = run_dir(spark, "pane-stream")
+    for step in reversed(range(stream_quality.PANE_STEPS)):
+        rows.where(F.col("step") == step).drop("step").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.drop("step").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    store = PaneStore(spark, f"{folder}/store", stream_quality.SLICING, ("tbl", "phase"))
+    panes.step_panes(stream, store, f"{folder}/checkpoint").start().awaitTermination()
+    return stream_quality.shifted(store.counts())
+
+
+QUERIES = {f.__name__: f for f in (stream_admission, stream_chain, stream_p1_counts)}

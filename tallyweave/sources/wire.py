@@ -69,7 +69,10 @@ class FileTopics:
 
     def send(self, events: DataFrame, topic: str, number: int, name: str | None = None) -> None:
         """``name`` is what the topic is called here, where the job's flags rename it."""
-        encode(events, SCHEMAS[topic], KEYS[topic], TIMES[topic]).write.mode("overwrite").json(f"{self.folder}/{name or topic}/batch={number}")
+        records = encode(events, SCHEMAS[topic], KEYS[topic], TIMES[topic])
+        # Offsets grow from batch to batch; within one they follow the rows' order.
+        offset = F.lit(number).cast("bigint") * (1 << 43) + F.monotonically_increasing_id()
+        records.withColumn("offset", offset).write.mode("overwrite").json(f"{self.folder}/{name or topic}/batch={number}")
 
 
 class KafkaTopics:
@@ -97,10 +100,18 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType, files: in
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files).load(path)
 
 
-def stream_topic(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """A Kafka topic from its beginning, values as text. Needs Spark's Kafka package."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
-    return raw.select(F.col("value").cast("string").alias("value"))
+def stream_records(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
+    """A topic kept as files (see FileTopics): ``value``, and ``arrival_seq``, the record's
+    offset, or the time of its file where it has none."""
+    raw = spark.readStream.format("json").schema("value string, offset bigint").option("maxFilesPerTrigger", files).load(path)
+    return raw.select("value", F.coalesce("offset", F.shiftleft(F.unix_millis("_metadata.file_modification_time"), 20)).alias("arrival_seq"))
+
+
+def stream_topic(spark: SparkSession, servers: str, topic: str, group: str = "tallyweave") -> DataFrame:
+    """A Kafka topic from its beginning: ``value`` as text, and ``arrival_seq``, which orders
+    the records of a partition and so those of a key. Needs Spark's Kafka package."""
+    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").option("groupIdPrefix", group).load()
+    return raw.select(F.col("value").cast("string").alias("value"), (F.col("offset") * 1024 + F.col("partition")).alias("arrival_seq"))
 
 
 def latest(events: DataFrame, key: str, order: str) -> DataFrame:

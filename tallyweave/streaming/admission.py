@@ -36,13 +36,16 @@ class FirstVote(StatefulProcessor):
             able = [(c.loc[c["screened"].isna(), "arrival_seq"].min(), c) for c in chunks if c["screened"].isna().any()]
             if able:
                 first, chunk = min(able, key=lambda x: x[0])
-                standing = chunk.loc[chunk["screened"].isna() & (chunk["arrival_seq"] == first), "receipt"].iloc[0]
+                chosen = (chunk["screened"].isna() & (chunk["arrival_seq"] == first)).idxmax()
+                standing = chunk.loc[chosen, "receipt"]
                 self._standing.update((standing,))
             else:
                 first = None
         for c in chunks:
             # With a standing vote from before, every row is later than it.
-            later = c["arrival_seq"] > first if first is not None else pd.Series(False, index=c.index)
+            later = c["arrival_seq"] >= first if first is not None else pd.Series(False, index=c.index)
+            if before is None and first is not None and c is chunk:
+                later[chosen] = False
             reason = c["screened"].astype(object).where(c["screened"].notna(), None)
             reason = reason.mask(c["screened"].isna() & later, "DUPLICATE_VOTE")
             original = pd.Series(None, index=c.index, dtype=object).mask(later & (c["screened"] != "INVALID_VOTE"), standing)

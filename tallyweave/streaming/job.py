@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweave.config import JobConfig
 from tallyweave.session import build_session
@@ -31,19 +31,15 @@ class TallyJob:
         self.topics = wire.KafkaTopics(config.bootstrap_servers) if kafka else wire.FileTopics(f"{self.folder}/topics")
         spark.conf.set("spark.sql.shuffle.partitions", str(config.parallelism))
 
-    def _raw(self, topic: str) -> DataFrame:
+    def _raw(self, name: str) -> DataFrame:
         if self.kafka:
-            return wire.stream_topic(self.spark, self.config.bootstrap_servers, topic, self.config.consumer_group)
-        schema = T.StructType([T.StructField("value", T.StringType())])
-        return wire.stream_files(self.spark, f"{self.folder}/topics/{topic}", schema, kind="text")
+            return wire.stream_topic(self.spark, self.config.bootstrap_servers, name, self.config.consumer_group)
+        return wire.stream_records(self.spark, f"{self.folder}/topics/{name}")
 
     def _events(self, topic: str, name: str) -> DataFrame:
-        """Readable events; what is not readable is counted as corruptRecords of the batch
-        and left out, as it would stop the job at every restart. The dead letters are kept by
-        a query of their own."""
-        raw = self._raw(name)
-        good, _ = wire.decode(raw.observe(f"{topic}.in", F.count(F.lit(1)).alias("records")), wire.SCHEMAS[topic])
-        return good.observe(f"{topic}.read", F.count(F.lit(1)).alias("records"))
+        """Readable events. What is not readable is left out, as it would stop the job at every
+        restart; a query of its own counts and keeps it."""
+        return wire.decode(self._raw(name), wire.SCHEMAS[topic])[0]
 
     def corrupt_records(self, topic: str, name: str, **trigger):
         """Unreadable records of a topic, to FOLDER/dead-letters."""
@@ -54,7 +50,7 @@ class TallyJob:
         """What builds each query, in the order in which they feed each other."""
         c, spark, folder = self.config, self.spark, self.folder
         names = {"votes.accepted": c.topic_accepted, "votes.rejected": c.topic_rejected, "votes.windows": c.topic_windows}
-        votes = lambda: self._events("votes.cast", c.topic_votes).withColumn("arrival_seq", wire.arrival_number())
+        votes = lambda: self._events("votes.cast", c.topic_votes)
         control = lambda: self._events("votes.control", c.topic_control)
         return [
             lambda: pipeline.decisions_query(votes(), control(), folder, c.election_id, c.schedule(), **trigger),

@@ -1,11 +1,14 @@
 import pytest
-from helpers import ELECTION, at, rows, vote, votes
+from helpers import ELECTION, at, receipt, rows, vote, votes
 from pyspark.sql import functions as F
 
-from tallyweave.config import Schedule
-from tallyweave.operators import admission, tally, timeline
+from tallyweave.config import JobConfig, Schedule
+from tallyweave.functions.windows import window_id
+from tallyweave.operators import admission, chain, tally, timeline
+from tallyweave.operators.ledger import Ledger
 from tallyweave.sources import wire
 from tallyweave.streaming import panes, pipeline
+from tallyweave.streaming.job import TallyJob
 from tallyweave.operators.late import Slicing, compose, pane_log, to_panes
 from tallyweave.operators.panes import PaneStore
 
@@ -16,56 +19,89 @@ def ms(second):
     return round(at(second).timestamp() * 1000)
 
 
-def feed(df, path, order, files):
-    """Rows as ``files`` files in order, one micro-batch each."""
-    n = df.count()
-    for i in range(files):
-        part = df.where((F.col(order) > i * n // files) & (F.col(order) <= (i + 1) * n // files))
-        part.coalesce(1).write.mode("append").parquet(path)
-
-
 def data(n=60):
     return [vote(i, f"v{i * 7 % 40}" if i % 11 else None, f"c{i % 3}", "sp" if i % 2 else "MG", f"City{i % 4}", second=i * 2.5, election="other" if i % 13 == 0 else ELECTION) for i in range(1, n + 1)]
 
 
-@pytest.mark.parametrize("files", [1, 4])
-def test_stream_equals_batch(spark, tmp_path, files):
+def test_job_equals_batch_over_restarts(spark, tmp_path):
+    """Slices of arrival, the job stopped and started after each: decisions, counts, late
+    votes, markers and the chain are those of all rows at once. One vote comes late, one
+    receipt twice."""
     src, ctl, out = f"{tmp_path}/votes", f"{tmp_path}/control", f"{tmp_path}/job"
-    df = votes(spark, data())
-    feed(df, src, "arrival_seq", files)
-    spark.createDataFrame([(1, "ELECTION_CLOSED", ELECTION, at(600))], CONTROL).write.parquet(ctl)
-    stream = wire.stream_files(spark, src, df.schema, 1)
-    control = wire.stream_files(spark, ctl, spark.createDataFrame([], CONTROL).schema, 1)
-    run = lambda: pipeline.run_to_end(lambda: pipeline.decisions_query(stream, control, out, ELECTION), lambda: pipeline.tally_query(spark, out), lambda: pipeline.markers_query(spark, out, 15_000))
-    run()
+    late = [vote(61, "late1", second=3.0), vote(62, "twice1", second=140, receipt="ab" * 32), vote(63, "twice2", second=141, receipt="ab" * 32), vote(64, "v9", second=200)]
+    df = votes(spark, data(40) + late)
+    control = spark.createDataFrame([(1, "ELECTION_CLOSED", ELECTION, at(600))], CONTROL)
+    control.limit(0).write.parquet(ctl)
+    source = lambda path, like: spark.readStream.schema(like.schema).parquet(path)
+
+    def run():
+        pipeline.run_to_end(
+            lambda: pipeline.decisions_query(source(src, df), source(ctl, control), out, ELECTION), lambda: pipeline.tally_query(spark, out),
+            lambda: pipeline.events_query(spark, out, 15_000), lambda: pipeline.ledger_query(spark, out, 15_000))
+
+    for low, high in ((0, 20), (20, 61), (61, 99)):
+        df.where((F.col("arrival_seq") > low) & (F.col("arrival_seq") <= high)).coalesce(1).write.mode("append").parquet(src)
+        if high == 99:
+            control.write.mode("append").parquet(ctl)
+        run()
     batch = admission.admit(df, ELECTION)
-    got = pipeline.read_decisions(spark, out, False).where("kind = 'VOTE'")
-    assert rows(got, "arrival_seq", "reason", "originalReceipt") == rows(batch, "arrival_seq", "reason", "originalReceipt")
+    got = pipeline.read_decisions(spark, out, False)
+    assert got.count() == df.count() + 1
+    assert rows(got.where("kind = 'VOTE'"), "arrival_seq", "reason", "originalReceipt") == rows(batch, "arrival_seq", "reason", "originalReceipt")
     counted = tally.tally(batch.where("reason is null"))
     assert rows(pipeline.standings(spark, out), "dimension", "key", "count") == rows(counted, "dimension", "key", "count")
-    ended = timeline.markers(timeline.mark_late(batch, 15_000), 15_000, spark.createDataFrame([(1, "x", ELECTION, at(600))], CONTROL))
-    assert rows(spark.read.parquet(f"{out}/markers"), "windowId", "count") == rows(ended, "windowId", "count")
-    chained = pipeline.seal_once(spark, out, 15_000)
-    assert chained.count() == ended.count()
-    pipeline.run_to_end(lambda: pipeline.events_query(spark, out, 15_000))
-    sent = spark.read.json(f"{out}/topics/votes.accepted").count(), spark.read.json(f"{out}/topics/votes.rejected").count()
-    assert sent == (batch.where("reason is null").count(), batch.where("reason is not null").count())
-    run()  # a restart counts nothing twice
-    assert pipeline.read_decisions(spark, out, False).count() == 61
-    assert rows(pipeline.standings(spark, out), "dimension", "key", "count") == rows(counted, "dimension", "key", "count")
-
-
-def test_control_events_move_the_watermark_and_never_count(spark, tmp_path):
-    """A batch drops what was late by the watermark of the batch before the last."""
-    line = f"{tmp_path}/decisions"
+    t = timeline.mark_late(batch, 15_000)
+    assert rows(spark.read.schema("arrival_seq bigint").parquet(f"{out}/late/*"), "arrival_seq") == rows(t.where("reason is null and late"), "arrival_seq") != []
+    told = timeline.markers(t, 15_000, control, distinct="receipt")
+    topic = lambda name: spark.read.json(f"{out}/topics/{name}")
+    sent = wire.decode(topic("votes.windows"), wire.WINDOW_MARKER)[0]
+    assert rows(sent, "windowId", "count", "windowEnd") == rows(told, "windowId", "count", "windowEnd")
+    in_time = t.where("reason is null and not late").select(window_id(F.col("window_ms")).alias("windowId"), "receipt")
+    want = chain.seal(in_time, told)[2]
+    ledger = Ledger(spark, f"{out}/ledger")
+    assert rows(ledger.records().drop("sealedAt"), *want.columns) == rows(want, *want.columns) and want.count() == told.count()
+    assert ledger.health().first()["pendingWindows"] == 0
+    roots = wire.decode(topic("merkle.roots"), wire.ROOT)[0]
+    assert rows(roots, "windowId", "sequence", "root") == rows(want, "windowId", "sequence", "root") and roots.where("sealedAt is null").count() == 0
+    assert (topic("votes.accepted").count(), topic("votes.rejected").count()) == (batch.where("reason is null").count(), batch.where("reason is not null").count())
+    states = topic("results.by-state")
+    last = wire.decode(states, wire.TALLY_UPDATE)[0].groupBy("key").agg(F.max("count").alias("count"))
+    assert rows(last, "key", "count") == rows(counted.where("dimension = 'STATE'"), "key", "count") and states.where("timestamp is null").count() == 0
+    # A batch that is repeated changes nothing.
+    assert pipeline.ledger_step(ledger, got, ledger.meta()["batch"], 15_000) is None
+
+
+def test_control_events_move_the_clock_and_never_count(spark, tmp_path):
     names = [c.split()[0] for c in pipeline.LINE.split(", ")]
-    row = lambda seq, kind, s: tuple({"arrival_seq": seq, "kind": kind, "at": at(s), "castAt": at(s)}.get(n) for n in names)
-    for batch in ([row(1, "VOTE", 1), row(2, "VOTE", 2)], [row(None, "CONTROL", 66)], [row(None, "CONTROL", 67)], [row(3, "VOTE", 3)]):
-        spark.createDataFrame(batch, pipeline.LINE).coalesce(1).write.mode("append").parquet(line)
-    stream = spark.readStream.schema(pipeline.LINE).option("maxFilesPerTrigger", 1).parquet(line)
-    q = pipeline.marker_stream(stream, 60_000).writeStream.format("memory").queryName("marks").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert rows(spark.table("marks"), "windowId", "count") == [("2026-10-04T13:00:00Z", 2)]
+    row = lambda seq, kind, s: tuple({"arrival_seq": seq, "kind": kind, "at": at(s), "castAt": at(s) if kind == "VOTE" else None, "receipt": receipt(seq or 0)}.get(n) for n in names)
+    ledger = Ledger(spark, f"file://{tmp_path}/l")
+    step = lambda n, *data: pipeline.ledger_step(ledger, spark.createDataFrame(data, pipeline.LINE), n, 60_000)
+    assert step(0, row(1, "VOTE", 1), row(2, "VOTE", 2)).count() == 0
+    assert rows(step(1, row(None, "CONTROL", 65)), "windowId", "count") == [("2026-10-04T13:00:00Z", 2)]
+    assert step(2, row(3, "VOTE", 3), row(None, "CONTROL", 70)).count() == 0  # late: neither leaf nor marker
+    assert ledger.leaves().count() == 2 and ledger.records().count() == 1 and ledger.refused().count() == 0
+
+
+def test_job_reads_topics_and_keeps_dead_letters(spark, tmp_path):
+    """The job as its main runs it, from topics of JSON records to topics of JSON records."""
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    config = JobConfig.from_args(["--election.id", ELECTION, "--merkle.window.ms", "15000", "--parallelism", "2", "--topic.accepted", "folhas"])
+    topics, df = wire.FileTopics(f"{tmp_path}/topics"), votes(spark, data(12))
+    topics.send(df.coalesce(1).withColumn("schemaVersion", F.lit(1)), "votes.cast", 0)
+    spark.createDataFrame([("k", "{oops"), ("k", None)], "key string, value string").write.mode("append").json(f"{tmp_path}/topics/votes.cast/batch=0")
+    topics.send(spark.createDataFrame([(1, "ELECTION_CLOSED", ELECTION, at(600))], CONTROL), "votes.control", 0)
+    job = TallyJob(spark, config, str(tmp_path))
+    try:
+        job.run_to_end()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    batch = admission.admit(df, ELECTION)
+    assert spark.read.json(f"{tmp_path}/topics/folhas").count() == batch.where("reason is null").count()
+    assert rows(pipeline.read_decisions(spark, str(tmp_path), False).where("kind = 'VOTE'"), "receipt", "reason") == rows(batch, "receipt", "reason")
+    assert rows(spark.read.parquet(f"{tmp_path}/dead-letters/votes.cast"), "value") == [("{oops",), (None,)]
+    assert spark.read.json(f"{tmp_path}/topics/merkle.roots").count() > 0
+    with pytest.raises(ValueError):
+        TallyJob(spark, config, str(tmp_path), kafka=True)
 
 
 def test_streamed_panes_count_whatever_comes_when(spark, tmp_path):
