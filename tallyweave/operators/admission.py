@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.config import Schedule
-from tallyweave.functions.text import is_receipt, normalize_id
+from tallyweave.functions.text import is_receipt, normalize_id, trim_low
 from tallyweave.functions.windows import window_id, window_start_ms
 from tallyweave.operators.hotkeys import skew_join
 
@@ -62,7 +62,9 @@ def admit(votes: DataFrame, election: str, schedule: Schedule = Schedule(), orde
     firsts = screened.where(F.col("screened").isNull()).groupBy("voter").agg(F.min(F.struct(F.col(order).alias("_first"), F.col("receipt").alias("_standing"))).alias("_f"))
     firsts = firsts.select("voter", "_f._first", "_f._standing")
     tasks = int(votes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = skew_join(screened, firsts, ("voter",), [order], tasks, "left")
+    # Loads from the trimmed column alone: normalising all values is dearer than the estimate.
+    loads = votes.select(trim_low("voterId").alias("voter"))
+    joined = skew_join(screened, firsts, ("voter",), [order], tasks, "left", estimate=loads)
     later = F.coalesce(F.col(order) > F.col("_first"), F.lit(False))
     reason = F.when(F.col("screened").isNotNull(), F.col("screened")).when(later, "DUPLICATE_VOTE")
     original = F.when(later & ~F.col("screened").eqNullSafe("INVALID_VOTE"), F.col("_standing"))

@@ -10,7 +10,8 @@ from tallyweave.functions.receipts import sha256_policy
 from tallyweave.functions.text import normalize_id
 from tallyweave.functions.windows import named_instant_ms, window_id
 from tallyweave.operators import admission, chain, ingest, proofs, tally, timeline, trees
-from tallyweave.session import written
+from tallyweave.operators.ledger import Ledger
+from tallyweave.session import few_rows, run_dir, written
 from tallyweave.sources import generator
 from tallyweave.sources.tables import table
 
@@ -148,10 +149,14 @@ def late_votes(spark: SparkSession, d: str) -> DataFrame:
     return timed(spark, d).where("reason is null and late").select("arrival_seq", "receipt", window_id(F.col("window_ms")).alias("windowId"))
 
 
-def sealed_leaves(spark: SparkSession, d: str) -> DataFrame:
-    """Leaves of accepted votes that were in time."""
-    t = timed(spark, d).where("reason is null and not late")
-    return trees.leaf_set(t.select(window_id(F.col("window_ms")).alias("windowId"), "receipt"))
+def in_time(t: DataFrame) -> DataFrame:
+    """Accepted votes that were in time, as (windowId, receipt)."""
+    return t.where("reason is null and not late").select(window_id(F.col("window_ms")).alias("windowId"), "receipt")
+
+
+def sealed_leaves(spark: SparkSession, d: str, t: DataFrame | None = None) -> DataFrame:
+    """Leaves of accepted votes that were in time. ``t``: timed votes, where a query has them."""
+    return trees.leaf_set(in_time(timed(spark, d) if t is None else t))
 
 
 def window_leaf_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -167,8 +172,8 @@ def seal_status(spark: SparkSession, d: str) -> DataFrame:
 
 # -- trees, chain and proofs -----------------------------------------------------
 
-def numbered(spark: SparkSession, d: str) -> DataFrame:
-    return written(trees.numbered(sealed_leaves(spark, d)), "leaves")
+def numbered(spark: SparkSession, d: str, t: DataFrame | None = None) -> DataFrame:
+    return written(trees.numbered(sealed_leaves(spark, d, t)), "leaves")
 
 
 def merkle_leaf_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -183,12 +188,71 @@ def merkle_levels(spark: SparkSession, d: str) -> DataFrame:
     return trees.tree_levels(numbered(spark, d))
 
 
+def told_markers(spark: SparkSession, t: DataFrame) -> DataFrame:
+    return timeline.markers(t, WINDOW_MS, control(spark), distinct="receipt")
+
+
+def sealed(spark: SparkSession, d: str, t: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Numbered leaves, and checkpoints of the windows that have a marker; admission and
+    timeline run once for both."""
+    t = timed(spark, d) if t is None else t
+    leaves, _, records = chain.seal(in_time(t), told_markers(spark, t))
+    return leaves, written(records, "chain")
+
+
 def sealed_chain(spark: SparkSession, d: str) -> DataFrame:
     """Checkpoints of the windows that have a marker."""
+    return sealed(spark, d)[1]
+
+
+def lasting(spark: SparkSession, d: str) -> Ledger:
+    """A ledger that has taken everything in one step."""
+    t = timed(spark, d)
+    ledger = Ledger(spark, run_dir(spark, "ledger"))
+    ledger.apply(in_time(t), told_markers(spark, t))
+    return ledger
+
+
+def roots(spark: SparkSession, d: str) -> DataFrame:
+    """All checkpoints of the ledger, as the proof service lists them."""
+    return proofs.roots(lasting(spark, d).records()).drop("sealedAt")
+
+
+def root_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The checkpoint of each window that has an accepted vote, or that it is not sealed."""
     t = timed(spark, d)
-    told = timeline.markers(t, WINDOW_MS, control(spark), distinct="receipt")
-    in_time = t.where("reason is null and not late").select(window_id(F.col("window_ms")).alias("windowId"), "receipt")
-    return written(chain.seal(in_time, told)[2], "chain")
+    asked = t.where("reason is null").select(window_id(F.col("window_ms")).alias("windowId")).distinct()
+    records = sealed(spark, d, t)[1].select("windowId", "root", "checkpointHash")
+    return asked.join(records, "windowId", "left").select("windowId", F.when(F.col("root").isNull(), "JANELA_NAO_SELADA").otherwise("SEALED").alias("outcome"), "root", "checkpointHash")
+
+
+def health(spark: SparkSession, d: str) -> DataFrame:
+    """What the proof service says of itself; the identity of the store is new each time."""
+    return lasting(spark, d).health().drop("storeId")
+
+
+def ledger_restored(spark: SparkSession, d: str) -> DataFrame:
+    """A ledger taken up again after a stop: findings of its audit (none), checkpoints, and
+    those that it had still to seal (none)."""
+    ledger = lasting(spark, d)
+    found, more = ledger.audit().count(), Ledger(spark, ledger.store.root).restore().count()
+    return ledger.records().groupBy().agg(F.count(F.lit(1)).alias("checkpoints"), F.lit(found).cast("bigint").alias("findings"), F.lit(more).cast("bigint").alias("sealed_now"))
+
+
+def chain_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Checkpoints, and leaves over all of them."""
+    return sealed_chain(spark, d).groupBy().agg(F.count(F.lit(1)).alias("checkpoints"), F.sum("leafCount").alias("leaves"))
+
+
+def seal_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Windows whose recorded leaves are fewer than the marker says: what was lost on the way."""
+    return seal_status(spark, d).where("status = 'INCOMPLETE'").select("windowId", (F.col("expected") - F.col("leaves")).alias("missing"))
+
+
+def tally_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Keys per dimension, and how many of them break a rule: a blank key, a negative count."""
+    bad = F.col("key").isNull() | (F.trim("key") == "") | (F.col("count") < 0)
+    return tally.tally(accepted(spark, d)).groupBy("dimension").agg(F.count(F.lit(1)).alias("keys"), F.count(F.when(bad, 1)).alias("broken"))
 
 
 def chain_verify(spark: SparkSession, d: str) -> DataFrame:
@@ -237,15 +301,15 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def receipt_lookup(spark: SparkSession, d: str) -> DataFrame:
-    records = sealed_chain(spark, d)
-    found = proofs.lookup(_asked(spark, d), numbered(spark, d), records, admission.rejected_events(decisions(spark, d)))
+    t = timed(spark, d)
+    leaves, records = sealed(spark, d, t)
+    found = proofs.lookup(_asked(spark, d), leaves, records, t.where("reason is not null"))
     return found.select("receipt", "windowId", "leafIndex", "treeSize", "outcome", "cause")
 
 
 def receipt_verdict(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts on asked receipts against a chain whose checkpoint 40 was rewritten."""
-    records = sealed_chain(spark, d)
-    leaves = numbered(spark, d)
+    leaves, records = sealed(spark, d)
     checked = proofs.check(proofs.proof_responses(_asked(spark, d), leaves, records)).select("receipt", "sequence", "valid")
     want = _asked(spark, d).select(F.lower("receipt").alias("receipt")).distinct()
     all_asked = want.join(checked, "receipt", "left")
@@ -254,8 +318,8 @@ def receipt_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 def ledger_audit(spark: SparkSession, d: str) -> DataFrame:
     """Findings when one root of the records was rewritten and one leaf exchanged."""
-    records = sealed_chain(spark, d)
-    leaves = sealed_leaves(spark, d)
+    leaves, records = sealed(spark, d)
+    leaves = leaves.select("windowId", "receipt")
     first = leaves.groupBy("windowId").agg(F.min("receipt").alias("_first"))
     forged = leaves.join(first, "windowId").withColumn("receipt", F.when((F.col("receipt") == F.col("_first")) & (F.col("windowId") == "2031-03-02T09:10:00Z"), F.sha2(F.encode("receipt", "UTF-8"), 256)).otherwise(F.col("receipt"))).drop("_first")
     return chain.audit(trees.numbered(forged), tampered(records)).where("finding <> 'CHAIN'")
@@ -275,10 +339,11 @@ def candidate_parties(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feeder_distribution(spark: SparkSession, d: str) -> DataFrame:
-    """Ballots of the generator per candidate. Both lists are small fixed tables."""
-    people = table(spark, d, "candidatos", "numero", "partido").groupBy("numero").agg(F.min("partido").alias("partido")).orderBy("numero").limit(100).collect()
-    places = table(spark, d, "municipios", "uf", "municipio", "peso").where("peso > 0").orderBy("uf", "municipio").limit(1000).collect()
-    b = generator.ballots(spark, 20_000, [(r[0], r[1]) for r in people], [(r[0], r[1], r[2]) for r in places])
+    """As many ballots of the generator as there are votes, per candidate. Both lists are small
+    fixed tables."""
+    people = few_rows(table(spark, d, "candidatos", "numero", "partido").groupBy("numero").agg(F.min("partido").alias("partido")).orderBy("numero"), 10_000, "candidates")
+    places = few_rows(table(spark, d, "municipios", "mun_code", "uf", "municipio", "peso").where("peso > 0").orderBy("uf", "municipio", "mun_code").drop("mun_code"), 100_000, "places")
+    b = generator.ballots(spark, votes(spark, d).count(), [(r[0], r[1]) for r in people], [(r[0], r[1], r[2]) for r in places])
     return b.groupBy("candidateId").agg(F.count(F.lit(1)).alias("ballots"), F.count(F.when(F.col("duplicate"), 1)).alias("repeats"), F.count_distinct("state").alias("states"))
 
 
@@ -287,6 +352,7 @@ QUERIES = {f.__name__: f for f in (
     tally_all_dimensions, tally_grouping_sets, tally_changelog_candidate, tally_latest_compacted, tally_reconciliation, distinct_voters,
     votes_from_orders_tally, leaderboard_topk, control_events, timeline_union, window_markers, late_votes, window_leaf_counts, seal_status,
     merkle_leaf_hashes, merkle_roots, merkle_levels, chain_verify, chain_tampered_break, inclusion_proofs, proof_verify, proof_tampered,
-    receipt_lookup, receipt_verdict, ledger_audit, ingest_errors, candidate_parties, feeder_distribution,
+    receipt_lookup, receipt_verdict, ledger_audit, roots, root_lookup, health, ledger_restored, chain_totals, seal_gaps, tally_invariants,
+    ingest_errors, candidate_parties, feeder_distribution,
 )}
 QUERIES |= {f"tally_{k.lower()}": _one_tally(k) for k in tally.DIMENSIONS} | {"chain": sealed_chain}

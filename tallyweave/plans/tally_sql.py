@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tallyweave.plans import tally_queries as q
 from tallyweave.plans.stream_quality_sql import instant, trim
+from tallyweave.sources.generator import CANDIDATE_WEIGHTS
 
 BLANK = r"^[\t-\r\x1c-\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}]*$"
 RECEIPT = "'^[0-9a-f]{64}$'"
@@ -61,6 +62,23 @@ def one(dimension: str) -> str:
     return f"with {DEC} select '{dimension}' dimension, {KEYS[dimension]} \"key\", count(*) \"count\", arg_max(castAt, arrival_seq) updatedAt from acc group by 2"
 
 
+def chance(purpose: str) -> str:
+    return f"(('0x' || substr(md5('42|{purpose}|' || id), 1, 13))::bigint / 4503599627370496.0)"
+
+
+def picked(values: str, bounds: str, purpose: str) -> str:
+    return f"{values}[1 + least(len(list_filter({bounds}, lambda x: x <= {chance(purpose)})), len({values}) - 1)]"
+
+
+WEIGHTS = " ".join(f"when {i + 1} then {w}" for i, w in enumerate(CANDIDATE_WEIGHTS))
+FEEDER = f"""
+p as (select numero, row_number() over (order by numero) i from (select distinct numero from candidatos)),
+pw as (select numero, i, case i {WEIGHTS} else 1 end w from p),
+pc as (select list(numero order by i) nums, list(c order by i) nb from (select numero, i, sum(w) over (order by i) / (select sum(w) from pw)::double c from pw)),
+m as (select uf, peso, row_number() over (order by uf, municipio, mun_code) i from municipios where peso > 0),
+mc as (select list(uf order by i) ufs, list(c order by i) mb from (select uf, i, sum(peso) over (order by i) / (select sum(peso) from m)::double c from m)),
+b as (select id, {chance('again')} < 0.1 and id > 0 dup, {picked('nums', 'nb', 'candidate')} candidateId, {picked('ufs', 'mb', 'place')} uf from range((select count(*) from vote_cast)) t(id), pc, mc)"""
+
 ORACLES = {
     "normalize_votes": f"with {NORM} select arrival_seq, election, voter, candidate, party, region, place, valid from valid",
     "issue_receipts": f"with {NORM} select arrival_seq, sha256(election || '|' || voter || '|' || candidate || '|' || ms || '|{q.PEPPER}') issued from norm",
@@ -113,8 +131,18 @@ ORACLES = {
         from asked a left join (select receipt, s from numbered join seqs using (windowId)) n on n.receipt = a.receipt group by 1""",
     "ledger_audit": f"""with {LATE}, {MARKERS}, o as (select windowId, row_number() over (order by windowId) - 1 s from marks)
         select windowId, 'ROOT' finding from o where s = 3 or windowId = '2031-03-02T09:10:00Z'""",
+    "root_lookup": f"""with recursive {CHAIN} select a.windowId, case when l.root is null then 'JANELA_NAO_SELADA' else 'SEALED' end outcome, l.root, l.checkpointHash
+        from (select distinct {wid('wms')} windowId from timed where reason is null) a left join links l using (windowId)""",
+    "health": f"""with recursive {CHAIN} select 'UP' status, count(*) sealedCheckpoints, (select count(distinct windowId) from leafs where windowId not in (select windowId from marks)) pendingWindows,
+        arg_max(checkpointHash, sequence) head, arg_max(windowId, sequence) headWindow from links""",
+    "ledger_restored": f"with {LATE}, {MARKERS} select count(*) checkpoints, 0::bigint findings, 0::bigint sealed_now from marks",
+    "chain_totals": f"with {LATE}, {MARKERS} select count(*) checkpoints, cast(sum(d) as bigint) leaves from marks",
+    "tally_invariants": f"""with {DEC}, k as ({" union all ".join(f"select '{k}' dimension, {v} k from acc" for k, v in KEYS.items())})
+        select dimension, count(distinct k) as keys, count(distinct case when trim(k) = '' then k end) broken from k group by 1""",
+    "feeder_distribution": f"with {FEEDER} select candidateId, count(*) ballots, count(*) filter (where dup) repeats, count(distinct uf) states from b group by 1",
     "ingest_errors": f"""with {NORM}, r as (select *, case when coalesce(election, '{E}') <> '{E}' then 'ELEICAO_INCORRETA'
           when voter is null or candidate is null or party is null or region is null or place is null then 'VOTO_INVALIDO' end error from norm)
         select coalesce(error, '-') error, (case when error is null then 201 else 400 end)::int status, count(*) requests, count(distinct case when error is null then voter || '|' || candidate end) receipts from r group by 1, 2""",
     "candidate_parties": "select numero, nome, partido from candidatos c where not exists (select 1 from partidos p where p.sigla = c.partido)",
 } | {f"tally_{k.lower()}": one(k) for k in KEYS}
+ORACLES |= {"roots": ORACLES["chain"], "seal_gaps": f"select windowId, expected - leaves as missing from ({ORACLES['seal_status']}) where status = 'INCOMPLETE'"}

@@ -10,7 +10,8 @@ CANDIDATE_WEIGHTS = (28, 24, 12, 9, 7, 6, 4, 3, 3, 2, 1, 1)
 
 def uniform(seed: int, purpose: str, *columns: str) -> Column:
     """A number in [0, 1) that depends on seed, purpose and columns only."""
-    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(purpose), *columns), F.lit(1 << 52))) / F.lit(float(1 << 52))
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), *(F.col(c).cast("string") for c in columns))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
 def pick(u: Column, weights: list[int]) -> Column:
