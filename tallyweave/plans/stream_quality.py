@@ -12,7 +12,7 @@ from tallyweave.operators.late import Slicing, compose, first_copies, lateness,
 from tallyweave.operators.orphans import DELETED, LATE as LATE_PARENT, MISSING, OK, reference_status
 from tallyweave.operators.panes import PaneStore
 from tallyweave.operators.redelivery import KEY, SEQ, DeliveryStore
-from tallyweave.session import broadcast_if_small, is_small, run_dir, written
+from tallyweave.session import run_dir, written
 from tallyweave.sources.tables import table
 
 SLICING = Slicing(size=15_000, delay=5_000, cutoff=300_000, tick=5_000)
@@ -80,11 +80,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     corrected = written(store.corrections(rows), "corrected")
     keys = ("tbl", "phase", "pane_ms", "tick")
     narrow = rows.where("pane_ms is not null").select(*keys, "arrival_seq")
-    if is_small(corrected):
-        found = narrow.join(F.broadcast(corrected), list(keys), "left_semi")  # its size is checked
-    else:
-        found = skew_join(narrow, corrected, keys, ["arrival_seq"], tasks(spark), "left_semi")
-    return found.select("tbl", "arrival_seq")
+    return skew_join(narrow, corrected, keys, ["arrival_seq"], tasks(spark), "left_semi").select("tbl", "arrival_seq")
 
 
 def shifted(counts: DataFrame) -> DataFrame:
