@@ -41,10 +41,9 @@ def seal_status(leaves: DataFrame, markers: DataFrame) -> DataFrame:
     )
     rows = both.select("windowId", n.alias("leaves"), "expected", status.alias("status"))
     # Only the first window that has a marker and is not complete matters.
-    stop = rows.where(~F.col("status").isin(OPEN, COMPLETE)).agg(F.min("windowId").alias("_stop")).withColumn("_one", F.lit(1))
-    joined = rows.withColumn("_one", F.lit(1)).join(F.broadcast(stop), "_one")
-    ready = (F.col("status") == COMPLETE) & F.coalesce(F.col("windowId") < F.col("_stop"), F.lit(True))
-    return joined.select("windowId", "leaves", "expected", "status", ready.alias("sealable"))
+    stop = rows.where(~F.col("status").isin(OPEN, COMPLETE)).agg(F.min("windowId")).first()[0]
+    ready = (F.col("status") == COMPLETE) & (F.lit(stop is None) | F.coalesce(F.col("windowId") < F.lit(stop), F.lit(True)))
+    return rows.withColumn("sealable", ready)
 
 
 def link(previous: str, root: str, batch: str, leaves: int) -> str:

@@ -57,3 +57,18 @@ def ahead_of_clock(cast_at: Column, now: Column) -> Column:
 def receipt_events(cast: DataFrame) -> DataFrame:
     """Receipts of accepted requests; they never carry the candidate."""
     return cast.where(F.col("error").isNull()).select(F.lit(1).alias("schemaVersion"), "receipt", "electionId", "voterId", F.col("castAt").alias("issuedAt"))
+
+
+def submit(cast: DataFrame, topics, number: int) -> DataFrame:
+    """Record the accepted requests: votes first, receipts only once these are recorded
+    (``topics``: see sources/wire; a batch is acknowledged as a whole). Where that fails, they
+    become REGISTRO_INDISPONIVEL without a receipt, and may be sent again under the same
+    ``number``. Returns the requests as they are answered. Give it a written frame."""
+    accepted = cast.where(F.col("error").isNull())
+    try:
+        topics.send(accepted, "votes.cast", number)
+        topics.send(receipt_events(cast), "votes.receipts", number)
+    except Exception:  # whatever the reason, nothing was acknowledged
+        code = F.coalesce("error", F.lit("REGISTRO_INDISPONIVEL"))
+        return cast.withColumns({"receipt": F.lit(None).cast("string"), "error": code}).withColumn("status", http_status(F.col("error")))
+    return cast

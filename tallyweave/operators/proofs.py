@@ -31,8 +31,9 @@ def lookup(asked: DataFrame, leaves: DataFrame, records: DataFrame, rejected: Da
 def proof_responses(asked: DataFrame, leaves: DataFrame, records: DataFrame) -> DataFrame:
     """What the proof service answers for the receipts that are sealed."""
     paths = trees.proofs(leaves, asked)
-    kept = records.select("windowId", "sequence", "root", "previousHash", "checkpointHash")
-    return paths.join(kept, "windowId").select("receipt", "windowId", "sequence", "leafIndex", "treeSize", "root", "previousHash", "checkpointHash", "path", F.lit(RULE).alias("verification"))
+    when = F.col("sealedAt") if "sealedAt" in records.columns else F.lit(None).cast("timestamp")
+    kept = records.select("windowId", "sequence", "root", "previousHash", "checkpointHash", when.alias("sealedAt"))
+    return paths.join(kept, "windowId").select("receipt", "windowId", "sequence", "leafIndex", "treeSize", "root", "previousHash", "checkpointHash", "sealedAt", "path", F.lit(RULE).alias("verification"))
 
 
 def check(proofs: DataFrame) -> DataFrame:
@@ -44,20 +45,20 @@ def verdicts(checked: DataFrame, links: DataFrame) -> DataFrame:
     """INCLUDED (proof and chain up to its window hold), INCONSISTENT, or UNDETERMINED
     where the receipt has no proof. ``checked`` has receipt, sequence and valid (null: no
     proof); ``links`` comes from chain.check_links."""
-    broken = links.where(~(F.col("linked") & F.col("hashed"))).agg(F.min("sequence").alias("_broken")).withColumn("_one", F.lit(1))
-    joined = checked.withColumn("_one", F.lit(1)).join(F.broadcast(broken), "_one").drop("_one")
-    holds = F.col("valid") & F.coalesce(F.col("sequence") < F.col("_broken"), F.lit(True))
-    return joined.select("receipt", F.when(F.col("valid").isNull(), "UNDETERMINED").when(holds, "INCLUDED").otherwise("INCONSISTENT").alias("verdict"))
+    broken = links.where(~(F.col("linked") & F.col("hashed"))).agg(F.min("sequence")).first()[0]
+    holds = F.col("valid") & (F.lit(True) if broken is None else F.col("sequence") < broken)
+    return checked.select("receipt", F.when(F.col("valid").isNull(), "UNDETERMINED").when(holds, "INCLUDED").otherwise("INCONSISTENT").alias("verdict"))
 
 
 def health(leaves: DataFrame, records: DataFrame, status: DataFrame) -> DataFrame:
-    """One row: checkpoints, leaves sealed, windows that wait, and the head of the chain."""
-    one = F.lit(1).alias("_one")
-    head = records.groupBy().agg(F.count(F.lit(1)).alias("checkpoints"), F.sum("leafCount").alias("sealedLeaves"), F.max_by("checkpointHash", "sequence").alias("head"))
+    """One row: checkpoints, leaves sealed, windows that wait, and the head of the chain. A
+    lasting ledger has its own, with its identity."""
+    head = records.groupBy().agg(F.count(F.lit(1)).alias("checkpoints"), F.sum("leafCount").alias("sealedLeaves"), F.max_by("checkpointHash", "sequence").alias("head"), F.max_by("windowId", "sequence").alias("headWindow"))
     waiting = status.where("not sealable").groupBy().agg(F.count(F.lit(1)).alias("pendingWindows"))
     known = leaves.groupBy().agg(F.count(F.lit(1)).alias("leaves"))
-    joined = head.select("*", one).join(waiting.select("*", one), "_one").join(known.select("*", one), "_one")
-    return joined.select("checkpoints", F.coalesce("sealedLeaves", F.lit(0)).alias("sealedLeaves"), "leaves", "pendingWindows", F.coalesce("head", F.lit(merkle.GENESIS)).alias("head"))
+    rows = head.unionByName(waiting, allowMissingColumns=True).unionByName(known, allowMissingColumns=True)
+    one = rows.groupBy().agg(*(F.max(c).alias(c) for c in rows.columns))
+    return one.select("checkpoints", F.coalesce("sealedLeaves", F.lit(0)).alias("sealedLeaves"), "leaves", "pendingWindows", F.coalesce("head", F.lit(merkle.GENESIS)).alias("head"), "headWindow")
 
 
 def roots(records: DataFrame) -> DataFrame:

@@ -45,8 +45,8 @@ def reconcile(decisions: DataFrame) -> DataFrame:
     the totals of each dimension over the one accepted set."""
     totals = tally(decisions.where(F.col("reason").isNull())).groupBy().agg(*(F.sum(F.when(F.col("dimension") == d, F.col("count")).otherwise(0)).alias(f"by_{d.lower()}") for d in DIMENSIONS))
     counts = decisions.groupBy().agg(F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("reason").isNull(), 1)).alias("accepted"), F.count("reason").alias("rejected"))
-    one = F.lit(1).alias("_one")
-    both = counts.select("*", one).join(totals.select("*", one), "_one").drop("_one")
+    rows = counts.unionByName(totals, allowMissingColumns=True)
+    both = rows.groupBy().agg(*(F.max(c).alias(c) for c in rows.columns))
     ok = F.col("requests") == F.col("accepted") + F.col("rejected")
     for d in DIMENSIONS:
         ok = ok & (F.col(f"by_{d.lower()}") == F.col("accepted"))

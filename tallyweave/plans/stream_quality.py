@@ -149,8 +149,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     votes = counts.join(F.broadcast(total), "dim").where(filled(F.col("key_value")) & (F.col("load") * 20 >= F.col("total")))
     places = keyed_places(spark, d)
     weights = balanced_counts(places, ("dim", "key_value", "mun_code"), ["mun_code"], tasks(spark), load=F.col("peso"))
-    all_weight = weights.groupBy("dim").agg(F.sum("load").alias("total"))
-    heavy = weights.join(F.broadcast(all_weight), "dim").where(F.col("load") * 20 >= F.col("total"))
+    all_weight = places.agg(F.sum("peso")).first()[0]
+    heavy = weights.where(F.col("load") * 20 >= F.lit(all_weight))
     return votes.select("dim", "key_value").unionByName(heavy.select("dim", "key_value").distinct())
 
 

@@ -6,7 +6,7 @@ from tallyweave.config import JobConfig, Schedule
 from tallyweave.functions.receipts import sha256_policy
 from tallyweave.functions.text import normalize_id
 from tallyweave.operators import admission, ingest, tally
-from tallyweave.sources import generator
+from tallyweave.sources import generator, wire
 
 
 def ms(second):
@@ -128,3 +128,21 @@ def test_generator(spark):
     assert len(n) == 12 and max(n.values()) > 5 * min(n.values())
     s = {r["state"]: r["count"] for r in a.groupBy("state").count().collect()}
     assert s["SP"] > s["RR"] > 0
+
+
+def test_submitted_votes_have_receipts_or_503(spark, tmp_path):
+
+    cast = ingest.cast_votes(votes(spark, [vote(1), vote(2, "v2", election="other")]).drop("receipt", "castAt"), ELECTION, Schedule(), sha256_policy("p"), F.lit("2026-10-04T13:00:00Z").cast("timestamp"))
+    topics = wire.FileTopics(f"{tmp_path}/topics")
+    done = ingest.submit(cast, topics, 0)
+    assert rows(done, "status") == [(201,), (400,)]
+    again = ingest.submit(cast, topics, 0)  # a batch sent again is there once
+    sent = wire.decode(spark.read.json(f"{tmp_path}/topics/votes.receipts"), wire.RECEIPT)[0]
+    assert rows(sent, "receipt") == rows(again.where("error is null"), "receipt") and sent.count() == 1
+
+    class Down:
+        def send(self, *a):
+            raise OSError("no broker")
+
+    lost = ingest.submit(cast, Down(), 1)
+    assert rows(lost, "status", "error", "receipt") == [(400, "ELEICAO_INCORRETA", None), (503, "REGISTRO_INDISPONIVEL", None)]
