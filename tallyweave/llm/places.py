@@ -32,11 +32,13 @@ STATE = r"(?:^|[-–/(\[,:;|])\P{L}*(?:(?:UF|EST|ESTADO|STATE)\P{L}*(?:D[EOA]\P{
 OFFICE = r"^(?:(?:municipio|mun|pref|prefeitura(?: municipal)?|cidade|distrito(?: sede)?|distr?|centro|bairro)(?: de| do| da)? )+"
 
 
+ENTITY = "&([A-Za-z])(?:acute|grave|circ|tilde|cedil|uml|ring|slash);"
+
+
 def clean(c: Column | str) -> Column:
     """Lower-case letters and single spaces: entities, wrongly decoded letters,
     accents, look-alike digits, punctuation and words of administration undone."""
-    t = F.regexp_replace(trim_low(c), "&([A-Za-z])(?:acute|grave|circ|tilde|cedil|uml|ring|slash);", "$1")
-    t = F.regexp_replace(t, "Ã(.)", "Ã$1")
+    t = F.regexp_replace(trim_low(c), ENTITY, "$1")
     for bad, good in MOJIBAKE.items():
         t = F.replace(t, F.lit("Ã" + bad), F.lit(good))
     t = F.translate(F.lower(t), ACCENTED + DIGITS, PLAIN + LOOKALIKE)

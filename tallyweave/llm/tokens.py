@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 #: Folder of the vocabulary files, and the file used unless another is named.
 FOLDER = os.environ.get("TALLYWEAVE_TOKENIZERS", "/opt/tokenizers")
@@ -30,15 +30,17 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
 
 
 def counter(vocabulary: str = VOCABULARY, folder: str = FOLDER):
-    """A column function: tokens of a text, 0 for null and empty ones. The tokenizer is
-    loaded once for each Python worker, from the path given."""
+    """A column function: tokens of a text, 0 for null and empty ones. The vocabulary file is
+    sent to the executors, which need not have the folder; each Python worker loads it once."""
     path = f"{folder}/{vocabulary}"
+    SparkSession.getActiveSession().sparkContext.addFile(path)
 
     @F.pandas_udf("int")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from pyspark import SparkFiles
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        t = Tokenizer.from_file(SparkFiles.get(vocabulary))
         t.encode_special_tokens = True
         for texts in batches:
             sizes = []
