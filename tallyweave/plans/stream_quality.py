@@ -244,7 +244,7 @@ def deduplicate(spark: SparkSession, d: str) -> tuple[DeliveryStore, DataFrame]:
     low, high = bounds["low"] or 0, bounds["high"] or 0
     step = F.floor((F.col("batch_no") - low) * DELIVERY_BATCHES / (high - low + 1)).cast("int")
     rows = written(deliveries(spark, d).withColumn("step", F.coalesce(step, F.lit(DELIVERY_BATCHES - 1))).drop("batch_no"), "deliveries", "step")
-    store = DeliveryStore(spark, run_dir(spark, "one-copy"), buckets=tasks(spark))
+    store = DeliveryStore(spark, run_dir(spark, "one-copy"), buckets=min(32, tasks(spark)))
     dropped = None
     for k in range(DELIVERY_BATCHES):
         done = store.apply(rows.where(F.col("step") == k).drop("step")).dropped
