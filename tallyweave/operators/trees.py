@@ -92,9 +92,12 @@ def proofs(leaves: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
         asked = leaves.join(wanted.select(F.lower("receipt").alias("receipt")).where("receipt is not null").distinct(), "receipt", "left_semi")
     out = asked.select("windowId", "receipt", "leafIndex", "treeSize", F.col("leafIndex").alias("_at"), F.array().cast("array<string>").alias("path"))
     for blocks in rounds(leaves):
-        keyed = blocks.withColumnRenamed("block", "_block")
-        out = out.withColumn("_block", F.floor(F.col("_at") / BLOCK)).join(keyed, ["windowId", "_block"])
-        # In one select the new "_at" would hide the old one from the lambda.
-        out = out.withColumn("path", F.concat("path", merkle.siblings(F.col("levels"), F.col("_at") % BLOCK)))
-        out = out.select("windowId", "receipt", "leafIndex", "treeSize", F.col("_block").alias("_at"), "path")
+        if wanted is not None:
+            there = out.select("windowId", F.floor(F.col("_at") / BLOCK).alias("block")).distinct()
+            blocks = blocks.join(there, ["windowId", "block"], "left_semi")
+        # All paths of a block in one expression: a leaf is never joined to a whole block.
+        every = F.transform(F.sequence(F.lit(0), F.size(F.element_at("levels", 1)) - 1), lambda i: merkle.siblings(F.col("levels"), i))
+        paths = blocks.select("windowId", "block", F.posexplode(every).alias("_pos", "_part")).select("windowId", (F.col("block") * BLOCK + F.col("_pos")).alias("_at"), "_part")
+        out = out.join(paths, ["windowId", "_at"])
+        out = out.select("windowId", "receipt", "leafIndex", "treeSize", F.floor(F.col("_at") / BLOCK).alias("_up"), F.concat("path", "_part").alias("path")).withColumnRenamed("_up", "_at")
     return out.drop("_at")
